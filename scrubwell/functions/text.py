@@ -15,7 +15,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # the same as a class
+_SPACE_RUN = f"[{_SPACE}]+"
+_ODD_SPACE = f" {{2}}|[{_SPACE}&&[^ ]]"
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 _WORD_START = rf"(?<=[^{_CASED}])(?=[{_CASED}])"
 _MARK = "\ue000 "
@@ -29,20 +31,30 @@ def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def _is_token(t: Column, tokens: tuple[str, ...]) -> Column:
+    """Whether a trimmed cell is one of the tokens; long cells are ruled out by length alone."""
+    return (F.length(t) <= max(map(len, tokens))) & (F.find_in_set(F.lower(t), F.lit(",".join(tokens))) > 0)
+
+
 def missing_tokens(c: Column, tokens=vocab.MISSING_TOKENS) -> Column:
     """Trim; cells that spell out "no value" become NULL."""
     t = trim(c)
-    return F.when(~F.lower(t).isin(*tokens), t)
+    return F.when(~_is_token(t, tokens), t)
 
 
 def basic_missing_tokens(c: Column, tokens=vocab.BASIC_MISSING_TOKENS) -> Column:
     """Cells that spell out "no value" become NULL; other cells keep their whitespace."""
-    return F.when(~F.lower(trim(c)).isin(*tokens), c)
+    return F.when(~_is_token(trim(c), tokens), c)
+
+
+def collapse_inner(t: Column) -> Column:
+    """``collapse`` for a cell that is already trimmed; cells without a run stay untouched."""
+    return F.when(t.rlike(_ODD_SPACE), F.regexp_replace(t, _SPACE_RUN, " ")).otherwise(t)
 
 
 def collapse(c: Column) -> Column:
     """One space for every whitespace run, none at the ends."""
-    return F.btrim(F.regexp_replace(c, _SPACE_RUN, " "), F.lit(" "))
+    return collapse_inner(trim(c))
 
 
 def title_case(c: Column) -> Column:
@@ -84,9 +96,10 @@ def is_valid_phone(c: Column) -> Column:
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
-    """Value of a small fixed table, NULL where the key is absent."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), c)
+    """Value of a small fixed table, NULL where the key is absent. The table travels as one
+    constant, folded to a map literal when the query is planned."""
+    pairs = "\x01".join(f"{k}\x02{v}" for k, v in table.items())
+    return F.try_element_at(F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02")), c)
 
 
 def changed(old: Column, new: Column) -> Column:

@@ -34,28 +34,47 @@ class Evidence:
     not_boolean: int = 0
 
 
-def evidence_columns(value: Column) -> dict[str, Column]:
-    """Aggregates over the text cells of one column."""
+def evidence_columns(t: Column, parsed: Column) -> dict[str, Column]:
+    """Aggregates over trimmed cells and the numbers read from them. A cell that is a number
+    is a date only in compact form, so most numbers skip the date patterns."""
+    may_be_date = parsed.isNull() | F.length(t).isin(4, 8)
     return {
-        "filled": F.count(value),
-        "non_blank": F.count_if(text.trim(value) != ""),
-        "numbers": F.count(parse.number(value)),
-        "percent_signs": F.count_if(parse.has_percent(value)),
-        "currency_signs": F.count_if(parse.has_currency(value)),
-        "dates": F.count(parse.date(value)),
-        "date_shapes": F.count_if(parse.has_date_shape(value)),
-        "not_boolean": F.count_if(~parse.is_boolean_word(value)),
+        "filled": F.count(t),
+        "non_blank": F.count_if(t != ""),
+        "numbers": F.count(parsed),
+        "percent_signs": F.count_if(parse.has_percent(t)),
+        "currency_signs": F.count_if(parse.has_currency(t)),
+        "dates": F.count(F.when(may_be_date, parse.date_in(t))),
+        "not_boolean": F.count_if(~parse.is_boolean_word(t)),
     }
 
 
+def needs_date_shapes(name: str, e: Evidence) -> bool:
+    """Whether the kind hangs on the share of date-shaped cells, which costs a scan of its own."""
+    return (names.name_role(name) is None and not names.is_date_hint(name)
+            and not (e.filled >= MIN_CELLS and e.numbers >= NUMERIC_SHARE * e.filled)
+            and e.non_blank >= MIN_CELLS and e.dates >= DATE_SHARE * e.non_blank)
+
+
+def date_shape_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Date-shaped cells, for the few columns whose kind hangs on them."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.count_if(parse.has_date_shape(col(c))).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[i] for i, c in enumerate(columns)}
+
+
 def column_evidence(df: DataFrame, columns=None) -> DataFrame:
     """One row per text column with the counts a decision needs. A single pass: the long form
     is aggregated by column name map-side, so only a few rows per task are shuffled."""
     columns = names.text_columns(df) if columns is None else columns
     if not columns:
         return literal_table(df.sparkSession, {"column": "string", **{e: "long" for e in EVIDENCE}}, [])
-    return long_form(df.select(*[col(c) for c in columns])).groupBy("column").agg(
-        *[agg.alias(name) for name, agg in evidence_columns(F.col("value")).items()])
+    cells = long_form(df.select(*[text.trim(col(c)).alias(c) for c in columns]))
+    cells = cells.withColumn("parsed", parse.number_in(F.col("value")))
+    evidence = evidence_columns(F.col("value"), F.col("parsed"))
+    evidence["date_shapes"] = F.count_if(parse.has_date_shape(F.col("value")))
+    return cells.groupBy("column").agg(*[evidence[e].alias(e) for e in EVIDENCE])
 
 
 def is_date_confident(e: Evidence, hinted: bool) -> bool:
@@ -103,10 +122,25 @@ def kind_table(df: DataFrame) -> DataFrame:
     return literal_table(df.sparkSession, {"column": "string", "kind": "string"}, list(kinds.items()))
 
 
+def scale_percentages(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Percentage columns as fractions: cells with ``%`` are divided by 100; without any ``%`` in
+    the column, all cells are if the largest lies above 1 and up to 100."""
+    cells = {c: (text.trim(col(c)), parse.number(col(c).cast("string"))) for c in columns}
+    row = df.agg(*[a for t, n in cells.values() for a in (F.count_if(parse.has_percent(t)), F.max(n))]).first()
+    def scaled(i, c):
+        t, n = cells[c]
+        signs, largest = row[2 * i], row[2 * i + 1]
+        if signs:
+            return n / F.when(parse.has_percent(t), 100.0).otherwise(1.0)
+        return n / 100.0 if largest is not None and 1 < largest <= 100 else n
+    fractions = {c: scaled(i, c) for i, c in enumerate(columns)}
+    return df.select(*[fractions[c].alias(c) if c in fractions else col(c) for c in df.columns])
+
+
 # --- acceptance rules of the explicit-column converters -------------------------------------
 def generic_number(c: Column) -> Column:
     """Number text with ``, ₹ $ €`` removed (no ``£``, no ``%``, no number words)."""
-    return parse.plain_number(F.lower(F.translate(text.trim(c), ",₹$€", "")))
+    return parse.plain_number(text.trim(F.regexp_replace(c, "[,₹$€]", "")))
 
 
 def numeric_acceptance(df: DataFrame) -> DataFrame:

@@ -5,10 +5,6 @@ rule then works on that bounded dictionary (at most 200 labels per column).
 """
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +13,7 @@ from pyspark.sql import Window as W
 from ..functions import names, text, vocab
 from .tables import col, literal_table, long_form
 
-_GATE_SLACK = 4          # the sketch gate lets through this many times the limit
+SKETCH_GATE = 4 * vocab.HINTED_LABEL_LIMIT  # far above the sketch's error at the true limit
 _CASE_LIMIT = 32         # changed labels per column applied as a literal map
 
 
@@ -58,12 +54,13 @@ def label_inputs(df: DataFrame, columns=None) -> list[str]:
     return [c for c in chosen if not names.is_contact_or_id(c) and not names.is_name(c)]
 
 
-def value_counts(df: DataFrame, columns=None) -> DataFrame:
+def value_counts(df: DataFrame, columns=None, collapsed: bool = False) -> DataFrame:
     """(column, value, cnt) of whitespace-cleaned, filled cells. Hot values collapse map-side."""
     columns = names.text_columns(df) if columns is None else columns
     if not columns:
         return literal_table(df.sparkSession, {"column": "string", "value": "string", "cnt": "long"}, [])
-    cells = long_form(df.select(*[text.collapse(col(c)).alias(c) for c in columns]))
+    clean = (lambda c: c) if collapsed else text.collapse
+    cells = long_form(df.select(*[clean(col(c)).alias(c) for c in columns]))
     return (cells.where(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -74,7 +71,7 @@ def few_valued(df: DataFrame, columns: list[str]) -> list[str]:
     if not columns:
         return []
     row = df.agg(*[F.approx_count_distinct(text.collapse(col(c))).alias(f"_{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if row[i] <= _GATE_SLACK * vocab.HINTED_LABEL_LIMIT]
+    return [c for i, c in enumerate(columns) if row[i] <= SKETCH_GATE]
 
 
 def label_sizes(df: DataFrame, columns=None) -> DataFrame:
@@ -140,29 +137,33 @@ def rule_verdicts(counts: DataFrame, columns: list[str]) -> DataFrame:
                         .otherwise(F.coalesce("k8", "k7", "k6", "k5b", "k4", "k3", "value"))))
 
 
-def _repair_spelling(labels: pd.DataFrame) -> pd.DataFrame:
+def _spelling_repairer(limit: int, min_length: int, min_ratio: float):
     """Spelling verdicts for the labels of one column. A rare label takes the resolved form of
     a similar label with the same first letter and at least twice the count; going from frequent
-    to rare, the model label is always settled first. Columns above 60 labels have no verdicts."""
-    labels = labels.sort_values(["cnt", "value"], ascending=[False, True])
-    if not labels["plain"].iloc[0] or len(labels) > vocab.SPELLING_LIMIT:
-        return labels.assign(k9=None)
-    settled: dict[str, str] = {}
-    verdicts = []
-    seen: list[tuple[str, str, int]] = []
-    for value, key, cnt, resolved in zip(labels["value"], labels["format_key"], labels["cnt"], labels["resolved"]):
-        best, best_ratio = None, 0.0
-        if len(key) >= vocab.SPELLING_MIN_LENGTH:
-            for other, other_key, other_cnt in seen:
-                if other_cnt >= max(2, 2 * cnt) and other_key[:1] == key[0]:
-                    ratio = SequenceMatcher(None, key, other_key).ratio()
-                    if ratio > best_ratio:
-                        best, best_ratio = other, ratio
-        verdict = settled[best] if best is not None and best_ratio >= vocab.SPELLING_RATIO else None
-        settled[value] = resolved if verdict is None else verdict
-        verdicts.append(verdict)
-        seen.append((value, key, cnt))
-    return labels.assign(k9=verdicts)
+    to rare, the model label is always settled first. Columns above the limit have no verdicts.
+    The function carries its constants along, so executors need no copy of this package."""
+    def repair(labels):
+        from difflib import SequenceMatcher
+
+        labels = labels.sort_values(["cnt", "value"], ascending=[False, True])
+        if not labels["plain"].iloc[0] or len(labels) > limit:
+            return labels.assign(k9=None)
+        settled, verdicts, seen = {}, [], []
+        for value, key, cnt, resolved in zip(
+                labels["value"], labels["format_key"], labels["cnt"], labels["resolved"]):
+            best, best_ratio = None, 0.0
+            if len(key) >= min_length:
+                for other, other_key, other_cnt in seen:
+                    if other_cnt >= max(2, 2 * cnt) and other_key[:1] == key[0]:
+                        ratio = SequenceMatcher(None, key, other_key).ratio()
+                        if ratio > best_ratio:
+                            best, best_ratio = other, ratio
+            verdict = settled[best] if best is not None and best_ratio >= min_ratio else None
+            settled[value] = resolved if verdict is None else verdict
+            verdicts.append(verdict)
+            seen.append((value, key, cnt))
+        return labels.assign(k9=verdicts)
+    return repair
 
 
 def label_dictionary(df: DataFrame, columns=None) -> DataFrame:
@@ -175,7 +176,8 @@ def finish_dictionary(groups: DataFrame) -> DataFrame:
     the grouped step adds no shuffle; a group is one column's labels, at most 200."""
     marked = groups.withColumn("plain", ~F.col("semantic") & ~F.col("gender") & F.col("hinted"))
     repaired = marked.groupBy("column").applyInPandas(
-        _repair_spelling, T.StructType(marked.schema.fields + [T.StructField("k9", T.StringType())]))
+        _spelling_repairer(vocab.SPELLING_LIMIT, vocab.SPELLING_MIN_LENGTH, vocab.SPELLING_RATIO),
+        T.StructType(marked.schema.fields + [T.StructField("k9", T.StringType())]))
     label = F.coalesce("k9", "resolved")
     lower_case = (F.lower(label) == label) & (F.length(label) > 1)
     return repaired.withColumn("canonical", F.when(
@@ -217,6 +219,10 @@ def normalize_labels(df: DataFrame, columns=None) -> DataFrame:
     return apply_mapping(cleaned, mapping)
 
 
+def has_vocabulary(name: str) -> bool:
+    return names.column_key(name) in vocab.SEMANTIC_LABELS
+
+
 def semantic_alias(c: Column, name: str) -> Column:
     """Canonical label where the trimmed, lower-cased cell is in the vocabulary that the column
     name selects; otherwise the cell itself."""

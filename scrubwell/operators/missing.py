@@ -4,14 +4,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names, text
 from .infer import NUMERIC_KINDS
 from .quantiles import exact_quantiles
-from .tables import by_type, col, histogram, literal_table, nan_to_null
+from .tables import by_type, col, histogram, literal_table, nan_to_null, row_to_rows
 
 STRATEGIES = ("leave", "median_mode", "constant", "drop_rows")
 PROTECTED_KINDS = ("id", "email", "phone", "date", "other")
 
 
+def token_changes(df: DataFrame) -> DataFrame:
+    """Per text column, the cells that token normalisation changes: value to value, and with
+    values that became missing. One aggregate."""
+    columns = names.text_columns(df)
+    pairs = [(col(c), text.missing_tokens(col(c))) for c in columns]
+    row = df.agg(*[x for i, (old, new) in enumerate(pairs) for x in (
+        F.count_if(text.changed(old, new)).alias(f"a{i}"), F.count_if(text.changed_null_safe(old, new)).alias(f"b{i}"))])
+    return row_to_rows(row, {"column": "string", "changed": "long", "changed_null_safe": "long"},
+                       [(F.lit(c), F.col(f"a{i}"), F.col(f"b{i}")) for i, c in enumerate(columns)])
+
+
 def drop_blank_rows(df: DataFrame) -> DataFrame:
     return nan_to_null(df).na.drop(how="all")
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
+from ..functions.parse import number_word
 from .profile import round_half_up
 from .tables import col
 
@@ -44,16 +45,14 @@ def standardize_contacts(df: DataFrame) -> DataFrame:
 def number_anywhere(c: Column) -> Column:
     """First number found in a cell after number words, signs and commas are resolved."""
     t = F.lower(text.trim(c))
-    bare = F.translate(t, vocab.CURRENCY_SIGNS + ",", "")
+    bare = F.regexp_replace(t, f"[{vocab.CURRENCY_SIGNS},]", "")
     found = F.regexp_extract(bare, r"-?[0-9]+(?:\.[0-9]+)?", 0)
-    words = F.try_element_at(F.create_map(
-        *[F.lit(x) for w, n in vocab.NUMBER_WORDS.items() for x in (w, float(n))]), t)
-    return F.coalesce(words, F.nullif(found, F.lit("")).try_cast("double"))
+    return F.coalesce(number_word(t), F.nullif(found, F.lit("")).try_cast("double"))
 
 
 def discount(c: Column) -> Column:
     """Discount as a fraction: ``%`` or a bare number above 1 is divided by 100."""
-    n = number_anywhere(F.translate(c, " %", ""))
+    n = number_anywhere(F.regexp_replace(c, "[ %]", ""))
     return F.when(c.contains("%") | (n > 1), n / 100.0).otherwise(n)
 
 

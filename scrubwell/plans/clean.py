@@ -20,10 +20,11 @@ from pyspark.sql import types as T
 
 from ..functions import names, parse, text, vocab
 from ..operators import labels, missing, validate
-from ..operators.infer import EVIDENCE, NUMERIC_KINDS, Evidence, decide_kind, evidence_columns
+from ..operators.infer import (EVIDENCE, NUMERIC_KINDS, Evidence, date_shape_counts, decide_kind,
+                               evidence_columns, needs_date_shapes)
 from ..operators.outliers import outliers
 from ..operators.profile import invalid_contact_cells, quality
-from ..operators.tables import col, literal_table, nan_to_null, stage
+from ..operators.tables import col, literal_table, nan_to_null, spread, stage
 
 CONVERTED_KINDS = (*NUMERIC_KINDS, "date", "boolean")
 STRATEGY_ALIASES = {  # fixed values: the long names of the strategies
@@ -39,19 +40,28 @@ def _as_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("decimal(38,1)").cast("string") if isinstance(dtype, T.FractionalType) else c.cast("string")
 
 
-def _normalized(name: str, dtype: T.DataType) -> Column:
-    """Stage 3 for one column: tokens, whitespace, contact and name spelling."""
-    if not isinstance(dtype, T.StringType):
-        return col(name)
-    cell = text.missing_tokens(col(name))
+def _spelled(name: str, cell: Column) -> Column:
+    """Stage 3 for a token-free cell of one text column: whitespace, contact and name spelling."""
     if names.is_email(name):
-        return text.email(cell)
+        return F.lower(cell)
     if names.is_phone(name):
         return text.phone(cell)
-    cell = text.collapse(cell)
+    cell = text.collapse_inner(cell)
     return text.title_case(cell) if names.is_name(name) else cell
 
 
+def _is_text(f: T.StructField) -> bool:
+    return isinstance(f.dataType, T.StringType)
+
+
+def _normalized(df: DataFrame) -> DataFrame:
+    """Text columns without missing tokens, in their normal spelling."""
+    trimmed = df.select(*[
+        text.missing_tokens(col(f.name)).alias(f.name) if _is_text(f) else col(f.name) for f in df.schema])
+    return trimmed.select(*[
+        _spelled(f.name, col(f.name)).alias(f.name) if _is_text(f) else col(f.name) for f in df.schema])
+
+
 @dataclass(frozen=True)
 class CleaningPlan:
     """What the data decided, ready to be applied to it or to later rows of the same shape."""
@@ -63,31 +73,27 @@ class CleaningPlan:
     def normalize(self, df: DataFrame) -> DataFrame:
         """Kept columns under standard names, text normalised, blank rows gone."""
         renamed = nan_to_null(df).select(*[col(old).alias(new) for old, new in self.columns])
-        done = renamed.select(*[_normalized(f.name, f.dataType).alias(f.name) for f in renamed.schema])
-        return done.na.drop(how="all")
+        return _normalized(renamed).na.drop(how="all")
 
     def convert(self, df: DataFrame) -> DataFrame:
-        """Kinds become types; values outside an implied range become NULL."""
-        return df.select(*[self._converted(f.name, f.dataType).alias(f.name) for f in df.schema])
+        """Kinds become types; then values outside an implied range become NULL."""
+        typed = df.select(*[self._converted(f.name, f.dataType).alias(f.name) for f in df.schema])
+        def bounded(c):
+            bounds = validate.range_of(c) if self.kinds[c] in NUMERIC_KINDS else None
+            return col(c) if bounds is None else F.when(~validate.is_out_of_range(col(c), bounds), col(c)).alias(c)
+        return typed.select(*[bounded(c) for c in typed.columns])
 
     def _converted(self, name: str, dtype: T.DataType) -> Column:
-        kind, c = self.kinds[name], col(name)
-        is_text = isinstance(dtype, T.StringType)
+        kind, c, is_text = self.kinds[name], col(name), isinstance(dtype, T.StringType)
         if kind in NUMERIC_KINDS:
-            if isinstance(dtype, T.NumericType):
-                value = c.cast("double")
-            elif self.scale.get(name) == "cell":
-                value = parse.cell_percent(c.cast("string"))
-            else:
-                value = parse.number(c.cast("string"))
+            value = c.cast("double") if isinstance(dtype, T.NumericType) else parse.number_in(c.cast("string"))
             if self.scale.get(name) == "whole":
-                value = value / 100.0
-            bounds = validate.range_of(name)
-            return value if bounds is None else F.when(~validate.is_out_of_range(value, bounds), value)
+                return value / 100.0
+            return value / F.when(parse.has_percent(c), 100.0).otherwise(1.0) if self.scale.get(name) else value
         if kind == "date" and is_text:
-            return parse.date(c)
+            return parse.date_in(c)
         if kind == "boolean" and is_text:
-            return parse.boolean(c)
+            return parse.boolean_in(c)
         if kind in ("email", "phone", "id") and not is_text:
             cell = _as_text(c, dtype)
             return {"email": text.email, "phone": text.phone, "id": text.trim}[kind](cell)
@@ -96,64 +102,62 @@ class CleaningPlan:
     def apply(self, df: DataFrame) -> DataFrame:
         """Stages 1 to 5 as one projection, without any step that looks across rows."""
         done = labels.apply_mapping(self.normalize(df), self.label_map)
-        done = done.select(*[
-            labels.semantic_alias(col(c), c).alias(c) if k == "text" and isinstance(done.schema[c].dataType, T.StringType)
-            else col(c) for c, k in self.kinds.items()])
+        aliased = {c for c, k in self.kinds.items() if k == "text" and labels.has_vocabulary(c)}
+        if aliased:
+            done = done.select(*[labels.semantic_alias(col(c), c).alias(c) if c in aliased else col(c)
+                                 for c in done.columns])
         return self.convert(done)
 
 
 # --- fit ------------------------------------------------------------------------------------
-def _scan(df: DataFrame, columns: list[tuple[str, str]]) -> dict[str, dict]:
+def _scan(df: DataFrame) -> dict[str, dict]:
     """Per column: fill counts, change counters and inference evidence, in one pass whose shuffle
     carries one row per column and task."""
-    renamed = df.select(*[col(old).alias(new) for old, new in columns])
-    fields = list(renamed.schema)
-    text_like = lambda f: isinstance(f.dataType, T.StringType)
-    prepared = renamed.select(
-        *[c for i, f in enumerate(fields) for c in (
-            (col(f.name) if text_like(f) else F.lit(None).cast("string")).alias(f"raw{i}"),
-            (_normalized(f.name, f.dataType) if text_like(f) else
-             F.lit(None).cast("string")).alias(f"norm{i}"),
-            (col(f.name).cast("double") if isinstance(f.dataType, T.NumericType)
-             else F.lit(None).cast("double")).alias(f"num{i}"),
-            col(f.name).isNotNull().alias(f"has{i}"))])
+    fields = list(df.schema)
+    null = {t: F.lit(None).cast(t) for t in ("string", "double")}
+    raw = df.select(
+        *[(col(f.name) if _is_text(f) else null["string"]).alias(f"raw{i}") for i, f in enumerate(fields)],
+        *[(col(f.name).cast("double") if isinstance(f.dataType, T.NumericType) else null["double"]).alias(f"num{i}")
+          for i, f in enumerate(fields)],
+        *[col(f.name).isNotNull().alias(f"has{i}") for i, f in enumerate(fields)])
+    keep = [F.col(c) for c in raw.columns]
+    texts = [i for i, f in enumerate(fields) if _is_text(f)]
+    free = raw.select(*keep, *[text.missing_tokens(F.col(f"raw{i}")).alias(f"free{i}") for i in texts])
+    keep += [F.col(f"free{i}") for i in texts]
+    spelled = free.select(*keep, *[_spelled(fields[i].name, F.col(f"free{i}")).alias(f"norm{i}") for i in texts])
 
     def entry(i: int, f: T.StructField):
-        low, high = validate.range_of(f.name) or (None, None)
-        as_double = lambda v: F.lit(None if v is None else float(v)).cast("double")
-        open_kind = text_like(f) and names.name_role(f.name) is None
-        norm = F.col(f"norm{i}")
-        return (F.lit(i), F.col(f"raw{i}"), norm, labels.semantic_alias(norm, f.name), F.col(f"num{i}"),
-                F.col(f"has{i}"), as_double(low), as_double(high), F.lit(open_kind))
+        role, bounds = names.name_role(f.name), validate.range_of(f.name) or (None, None)
+        of = lambda kind: F.col(f"{kind}{i}") if _is_text(f) else null["string"]
+        return (F.lit(i), F.col(f"raw{i}"), of("free"), of("norm"), labels.semantic_alias(of("norm"), f.name),
+                F.col(f"num{i}"), F.col(f"has{i}"),
+                *[F.lit(b if b is None else float(b)).cast("double") for b in bounds],
+                F.lit(role not in ("email", "phone", "id")), F.lit(_is_text(f) and role is None))
 
     any_raw = _any([F.col(f"has{i}") for i in range(len(fields))])
-    any_norm = _any([F.col(f"norm{i}").isNotNull() if text_like(f) else F.col(f"has{i}")
-                     for i, f in enumerate(fields)])
-    cells = prepared.select(
+    any_norm = _any([F.col(f"norm{i}").isNotNull() if i in texts else F.col(f"has{i}") for i in range(len(fields))])
+    cells = spelled.select(
         any_raw.alias("any_raw"), any_norm.alias("any_norm"),
         F.stack(F.lit(len(fields)), *[x for i, f in enumerate(fields) for x in entry(i, f)]).alias(
-            "i", "raw", "norm", "alias", "num", "has", "low", "high", "open"))
-    cells = (cells.withColumn("token_free", text.missing_tokens(F.col("raw")))
-             .withColumn("parsed", F.coalesce("num", parse.number(F.col("norm"))))
-             .withColumn("value", F.when(parse.has_percent(F.col("norm")), F.col("parsed") / 100.0)
-                         .otherwise(F.col("parsed")))
-             .withColumn("open_text", F.when(F.col("open"), F.col("norm"))))
-    evidence = evidence_columns(F.col("open_text"))
-    evidence["filled"] = F.count_if(F.coalesce(F.col("norm").isNotNull() | F.col("num").isNotNull(), F.lit(False)))
-    evidence["numbers"] = F.count("parsed")
-    evidence["percent_signs"] = F.count_if(parse.has_percent(F.col("norm")))
-    outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
+            "i", "raw", "free", "norm", "alias", "num", "has", "low", "high", "measure", "open"))
+    cells = cells.select("*", F.when(F.col("measure"), F.coalesce("num", parse.number_in(F.col("norm")))).alias("parsed"),
+                         F.when(F.col("open"), F.col("norm")).alias("open_text"))
+    evidence = evidence_columns(F.col("open_text"), F.col("parsed"))
+    evidence["filled"] = F.count_if(F.col("norm").isNotNull() | F.col("num").isNotNull())
+    evidence["percent_signs"] = F.count_if(F.col("measure") & parse.has_percent(F.col("norm")))
+    value = F.col("parsed") / F.when(parse.has_percent(F.col("norm")), 100.0).otherwise(1.0)
+    outside = F.col("low").isNotNull() & ((value < F.col("low")) | (value > F.col("high")))
     found = cells.groupBy("i").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("has").alias("has"),
         F.count_if(~F.col("any_raw")).alias("blank_rows"), F.count_if(~F.col("any_norm")).alias("empty_rows"),
-        F.count_if(text.changed(F.col("raw"), F.col("token_free"))).alias("trimmed"),
-        F.count_if(text.changed_null_safe(F.col("raw"), F.col("token_free"))).alias("tokens"),
-        F.count_if(text.changed(F.col("token_free"), F.col("norm"))).alias("respelled"),
+        F.count_if(text.changed(F.col("raw"), F.col("free"))).alias("trimmed"),
+        F.count_if(text.changed_null_safe(F.col("raw"), F.col("free"))).alias("tokens"),
+        F.count_if(text.changed(F.col("free"), F.col("norm"))).alias("respelled"),
         F.count_if(text.changed(F.col("norm"), F.col("alias"))).alias("aliased"),
         F.count_if(outside).alias("outside"), F.max("parsed").alias("largest"),
-        F.approx_count_distinct("norm").alias("labels"),
+        F.approx_count_distinct("open_text").alias("labels"),
         *[e.alias(n) for n, e in evidence.items()]).collect()
-    return {fields[r["i"]].name: r.asDict() for r in found}
+    return {fields[r["i"]].name: {**r.asDict(), "date_shapes": 0} for r in found}
 
 
 def _any(flags: list[Column]) -> Column:
@@ -164,50 +168,50 @@ def _any(flags: list[Column]) -> Column:
 
 
 def fit(df: DataFrame) -> tuple[CleaningPlan, dict]:
-    """The plan for a table and the counters of the pass that produced it."""
-    df = nan_to_null(df)
+    """The plan for a table and the counters of the passes that produced it."""
+    source = nan_to_null(spread(df))
     renamed = list(zip(df.columns, names.unique_names(map(names.standard_name, df.columns))))
-    stats = _scan(df, renamed)
+    df = source.toDF(*[new for _, new in renamed])
+    stats = _scan(df)
     if not stats:  # a table without rows keeps its columns; names and types decide the kinds
-        kinds = {new: decide_kind(new, df.schema[old].dataType) for old, new in renamed}
+        kinds = {f.name: decide_kind(f.name, f.dataType) for f in df.schema}
         return CleaningPlan(tuple(renamed), kinds), {"stats": {}, "dictionary": []}
-    first = next(iter(stats.values()))
 
-    def alive(old, new):
-        s, dtype = stats[new], df.schema[old].dataType
-        return s["filled"] > 0 if isinstance(dtype, T.StringType) else s["has"] > 0
-
-    kept = [(old, new) for old, new in renamed if alive(old, new)]
-    kinds, scale = {}, {}
-    for old, new in kept:
-        s = stats[new]
-        kinds[new] = decide_kind(new, df.schema[old].dataType, Evidence(*[s[e] for e in EVIDENCE]))
-        if kinds[new] == "percentage":
-            if s["percent_signs"]:
-                scale[new] = "cell"
-            elif s["largest"] is not None and 1 < s["largest"] <= 100:
-                scale[new] = "whole"
-    plan = CleaningPlan(tuple(kept), kinds, scale)
-
-    gate = labels._GATE_SLACK * vocab.HINTED_LABEL_LIMIT
-    holders = [new for old, new in kept if kinds[new] == "text" and isinstance(df.schema[old].dataType, T.StringType)
-               and stats[new]["labels"] <= gate]
-    holders = labels.label_inputs(df, holders)
+    def is_alive(f: T.StructField) -> bool:
+        return stats[f.name]["filled" if _is_text(f) else "has"] > 0
+
+    fields = [f for f in df.schema if is_alive(f)]
+    evidence = lambda f: Evidence(*[stats[f.name][e] for e in EVIDENCE])
+    unsure = [f.name for f in fields if _is_text(f) and needs_date_shapes(f.name, evidence(f))]
+    for c, n in date_shape_counts(_normalized(df.select(*[col(c) for c in unsure])), unsure).items():
+        stats[c]["date_shapes"] = n
+    kinds = {f.name: decide_kind(f.name, f.dataType, evidence(f)) for f in fields}
+    scale = {}
+    for c in (c for c, k in kinds.items() if k == "percentage"):
+        if stats[c]["percent_signs"]:
+            scale[c] = "cell"
+        elif stats[c]["largest"] is not None and 1 < stats[c]["largest"] <= 100:
+            scale[c] = "whole"
+
+    holders = labels.label_inputs(df, [
+        f.name for f in fields if _is_text(f) and kinds[f.name] == "text"
+        and stats[f.name]["labels"] <= labels.SKETCH_GATE])
     dictionary = []
     if holders:
-        # only the label columns reach this pass; the blank-row filter cannot change their counts
-        picked = [(old, new) for old, new in kept if new in holders]
-        narrow = df.select(*[col(old).alias(new) for old, new in picked])
-        normalized = narrow.select(*[_normalized(f.name, f.dataType).alias(f.name) for f in narrow.schema])
-        table = labels.finish_dictionary(labels.rule_verdicts(labels.value_counts(normalized, holders), holders))
+        # only label columns reach this pass; the blank-row filter cannot change their counts
+        narrow = _normalized(df.select(*[col(c) for c in holders]))
+        counts = labels.value_counts(narrow, holders, collapsed=True)
+        table = labels.finish_dictionary(labels.rule_verdicts(counts, holders))
         dictionary = [r.asDict() for r in table.select("column", "value", "cnt", "canonical").collect()]
     label_map: dict[str, dict[str, str]] = {}
     for r in dictionary:
         if r["value"] != r["canonical"]:
             label_map.setdefault(r["column"], {})[r["value"]] = r["canonical"]
-    plan = CleaningPlan(tuple(kept), kinds, scale, label_map)
-    return plan, {"stats": stats, "dictionary": dictionary, "rows": first["rows"],
-                  "blank_rows": first["blank_rows"], "empty_rows": first["empty_rows"]}
+    kept = tuple((old, new) for old, new in renamed if new in kinds)
+    first = next(iter(stats.values()))
+    return CleaningPlan(kept, kinds, scale, label_map), {
+        "stats": stats, "dictionary": dictionary, "rows": first["rows"],
+        "blank_rows": first["blank_rows"], "empty_rows": first["empty_rows"]}
 
 
 # --- clean ----------------------------------------------------------------------------------
@@ -264,11 +268,12 @@ def _staged_counts(df: DataFrame, contacts: dict[str, str]) -> dict:
 def clean(df: DataFrame, strategy: str = "leave", analyze_outliers: bool = True) -> CleanResult:
     """Clean a table of unknown schema; see the module text for the steps.
 
-    Three passes read the source (evidence, label counts, the de-duplicated copy). The copy is
+    Few passes read the source: evidence, label counts, and the de-duplicated copy. The copy is
     staged in the shared folder, and all later counts read only the columns they need from it."""
     strategy = STRATEGY_ALIASES.get(strategy, strategy)
     if strategy not in missing.STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; choose from {missing.STRATEGIES}")
+    df = spread(df)
     plan, fitted = fit(df)
     stats, kinds = fitted["stats"], plan.kinds
     kept = [new for _, new in plan.columns]
