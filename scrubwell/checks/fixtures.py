@@ -82,6 +82,27 @@ FROM (SELECT l_partkey, (l_orderkey * 8 + l_linenumber) AS k,
       FROM {lineitem}) keyed
 """
 
+# typed customers with gaps, for the missing-value strategies
+MT = """
+SELECT lpad(CAST(c_custkey AS STRING), 6, '0') AS customer_id,
+  CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 'user' || CAST(c_custkey AS STRING) || '@example.com' END AS email,
+  CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE c_acctbal END AS points,
+  CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE c_custkey % 40 END AS visits,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 3 = 0 END AS member,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 10 < 4 THEN 'gold' WHEN c_custkey % 10 < 7 THEN 'silver' ELSE 'bronze' END AS grade,
+  CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE 'note ' || CAST(c_custkey AS STRING) END AS remark
+FROM {customer}
+"""
+MT_KINDS = {"customer_id": "id", "email": "email", "points": "numeric", "visits": "numeric", "member": "boolean",
+            "grade": "text", "remark": "text"}
+
+# skewed measures, so that the IQR rule finds something
+SK = """
+SELECT l_orderkey, l_linenumber, l_quantity * l_quantity * l_extendedprice AS load,
+  CASE WHEN l_quantity > 49 THEN l_extendedprice * 10 ELSE l_extendedprice END AS unit_price, l_tax
+FROM {lineitem}
+"""
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
