@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..operators.profile import quality
 from ..operators.tables import literal_table
-from .sinks import prepare_export
 
 RUN_SCHEMA = {
     "run_id": "string", "saved_at": "string", "source_name": "string",
@@ -32,7 +31,7 @@ def save_run(base: str, source_name: str, original: DataFrame, cleaned: DataFram
     folder = f"{base.rstrip('/')}/snapshots/{now:%Y-%m-%d_%H-%M-%S}_{stem}_{run_id}"
     paths = {"original": f"{folder}/original", "cleaned": f"{folder}/cleaned"}
     original.write.parquet(paths["original"])
-    prepare_export(cleaned).write.parquet(paths["cleaned"])
+    cleaned.write.parquet(paths["cleaned"])
     actions = literal_table(spark, {"seq": "long", "action": "string", "result": "string"},
                             [(i, k, str(v)) for i, (k, v) in enumerate((log or {}).items(), 1)])
     actions.coalesce(1).write.parquet(f"{folder}/audit")
