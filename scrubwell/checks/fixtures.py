@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
+
 MC = """
 SELECT
   lpad(CAST(c_custkey AS STRING), 6, '0') AS customer_id,
@@ -108,7 +110,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet", spread=True)
 
 
 def from_sql(spark: SparkSession, folder: str, sql: str) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import names, text, vocab
-from .tables import col, literal_table, long_form
+from .tables import col, histogram, literal_table, long_form
 
 SKETCH_GATE = 4 * vocab.HINTED_LABEL_LIMIT  # far above the sketch's error at the true limit
+_RAW_GATE = 20_000       # raw spellings counted exactly without a second sketch
 _CASE_LIMIT = 32         # changed labels per column applied as a literal map
 
 
@@ -54,24 +55,33 @@ def label_inputs(df: DataFrame, columns=None) -> list[str]:
     return [c for c in chosen if not names.is_contact_or_id(c) and not names.is_name(c)]
 
 
-def value_counts(df: DataFrame, columns=None, collapsed: bool = False) -> DataFrame:
-    """(column, value, cnt) of whitespace-cleaned, filled cells. Hot values collapse map-side."""
+def value_counts(df: DataFrame, columns=None, clean=text.collapse) -> DataFrame:
+    """(column, value, cnt) of cleaned, filled cells. Raw cells are counted first, so hot values
+    collapse map-side and the cleaning rule runs once per distinct cell instead of once per row."""
     columns = names.text_columns(df) if columns is None else columns
     if not columns:
         return literal_table(df.sparkSession, {"column": "string", "value": "string", "cnt": "long"}, [])
-    clean = (lambda c: c) if collapsed else text.collapse
-    cells = long_form(df.select(*[clean(col(c)).alias(c) for c in columns]))
-    return (cells.where(F.col("value").isNotNull())
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    cells = long_form(df.select(*[col(c) for c in columns])).where(F.col("value").isNotNull())
+    return (histogram(cells).select("column", clean(F.col("value")).alias("value"), "n")
+            .where(F.col("value").isNotNull())
+            .groupBy("column", "value").agg(F.sum("n").alias("cnt")))
 
 
-def few_valued(df: DataFrame, columns: list[str]) -> list[str]:
-    """Columns whose distinct count is possibly within the label limits: one sketch pass that
-    spares the exact count from free text. The sketch is far more precise than its slack."""
+def _distinct_estimates(df: DataFrame, columns: list[str], rule) -> dict[str, int]:
     if not columns:
-        return []
-    row = df.agg(*[F.approx_count_distinct(text.collapse(col(c))).alias(f"_{i}") for i, c in enumerate(columns)]).first()
-    return [c for i, c in enumerate(columns) if row[i] <= SKETCH_GATE]
+        return {}
+    row = df.agg(*[F.approx_count_distinct(rule(col(c))).alias(f"_{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[i] for i, c in enumerate(columns)}
+
+
+def few_valued(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns whose distinct count is possibly within the label limits, so that free text is
+    spared the exact count. Raw cells are sketched first; only columns with many raw spellings are
+    sketched again in cleaned form. The gate is far above the sketch's error at the true limit."""
+    raw = _distinct_estimates(df, columns, lambda c: c)
+    many = [c for c in columns if raw[c] > _RAW_GATE]
+    cleaned = _distinct_estimates(df, many, text.collapse)
+    return [c for c in columns if cleaned.get(c, 0) <= SKETCH_GATE]
 
 
 def label_sizes(df: DataFrame, columns=None) -> DataFrame:

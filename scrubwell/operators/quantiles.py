@@ -1,9 +1,9 @@
 """Exact quantiles without gathering a column in one place.
 
-Columns with few distinct values go through a (column, value) count. For the others a sketch
-brackets each wanted rank, one aggregate counts the rows below, on and inside the bracket, and
-the bracket shrinks until its inside fits in one small array. Sketches and counts are partial
-aggregates, so no data row is shuffled, and a value that fills a third of the table costs
+Columns with few distinct values go through a (column, value) count and a running total. For the
+others a sketch brackets each wanted rank, one aggregate counts the rows below, on and inside the
+bracket, and the bracket shrinks until its inside fits in one small array. Sketches and counts are
+partial aggregates, so no data row is shuffled, and a value that fills a third of the table costs
 nothing extra: it ends up on a bracket edge and is counted, not collected.
 """
 from __future__ import annotations
@@ -12,12 +12,13 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .tables import col, histogram, long_form
 
-HISTOGRAM_LIMIT = 100_000   # distinct values per column handled by counting
-INSIDE_LIMIT = 50_000       # rows inside a bracket handled by one sorted array
-SKETCH_ACCURACY = 10_000    # rank error of a sketch: rows / accuracy
+HISTOGRAM_LIMIT = 1_000_000  # distinct values per column handled by counting
+INSIDE_LIMIT = 50_000        # rows inside a bracket handled by one sorted array
+SKETCH_ACCURACY = 10_000     # rank error of a sketch: rows / accuracy
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, dict]:
@@ -28,25 +29,40 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     numbers = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
     sizes = numbers.agg(*[a for c in numbers.columns for a in (
         F.count(c).alias(f"n{c}"), F.approx_count_distinct(c).alias(f"d{c}"))]).first()
-    filled = [c for c in numbers.columns if sizes[f"n{c}"]]
-    few = [c for c in filled if sizes[f"d{c}"] <= HISTOGRAM_LIMIT]
-    many = [c for c in filled if sizes[f"d{c}"] > HISTOGRAM_LIMIT]
-    found = {}
-    if few:
-        counted = histogram(long_form(numbers.select(*few)).where(F.col("value").isNotNull()))
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        for r in counted.groupBy("column").agg(
-                F.count(F.lit(1)).alias("distinct"),
-                F.percentile("value", probs, F.col("n")).alias("values")).collect():
-            found[r["column"]] = {"distinct": r["distinct"], "values": list(r["values"])}
-    if many:
-        ranks = {c: sorted({k for p in probabilities for k in _neighbours(p, sizes[f"n{c}"])}) for c in many}
-        order = _order_statistics(numbers, {c: (sizes[f"n{c}"], ks) for c, ks in ranks.items()})
-        for c in many:
-            n = sizes[f"n{c}"]
-            found[c] = {"distinct": sizes[f"d{c}"],
-                        "values": [_interpolate(p, n, order[c]) for p in probabilities]}
-    return {columns[int(c[1:])]: {"count": sizes[f"n{c}"], **found[c]} for c in filled}
+    wanted = {c: (sizes[f"n{c}"], sorted({k for p in probabilities for k in _neighbours(p, sizes[f"n{c}"])}))
+              for c in numbers.columns if sizes[f"n{c}"]}
+    few = {c: w for c, w in wanted.items() if sizes[f"d{c}"] <= HISTOGRAM_LIMIT}
+    many = {c: w for c, w in wanted.items() if c not in few}
+    order, distinct = _counted_statistics(numbers, few)
+    order.update(_order_statistics(numbers, many))
+    return {columns[int(c[1:])]: {
+        "count": n, "distinct": distinct.get(c, sizes[f"d{c}"]),
+        "values": [_interpolate(p, n, order[c]) for p in probabilities]} for c, (n, _) in wanted.items()}
+
+
+def _counted_statistics(df: DataFrame, wanted: dict[str, tuple[int, list[int]]]):
+    """The values at given ranks from a running total over the distinct values of each column,
+    whose number is bounded by the histogram limit."""
+    if not wanted:
+        return {}, {}
+    counted = histogram(long_form(df.select(*wanted)).where(F.col("value").isNotNull()))
+    by_value = W.partitionBy("column").orderBy("value")
+    running = counted.withColumn("upto", F.sum("n").over(by_value)).withColumn("place", F.row_number().over(by_value))
+    hit = F.col("place") < 1
+    for c, (n, ranks) in wanted.items():
+        here = F.col("upto") == n  # the last row tells the number of distinct values
+        for k in ranks:
+            here = here | ((F.col("upto") - F.col("n") <= k) & (F.col("upto") > k))
+        hit = hit | ((F.col("column") == c) & here)
+    order: dict[str, dict[int, float]] = {c: {} for c in wanted}
+    distinct: dict[str, int] = {}
+    for r in running.where(hit).collect():
+        c = r["column"]
+        distinct[c] = max(distinct.get(c, 0), r["place"])
+        for k in wanted[c][1]:
+            if r["upto"] - r["n"] <= k < r["upto"]:
+                order[c][k] = r["value"]
+    return order, distinct
 
 
 def _neighbours(p: float, n: int) -> tuple[int, int]:
@@ -59,7 +75,8 @@ def _interpolate(p: float, n: int, values: dict[int, float]) -> float:
     low, high = _neighbours(p, n)
     if low == high or values[low] == values[high]:
         return values[low]
-    return (high - position) * values[low] + (position - low) * values[high]
+    a, b, t = values[low], values[high], position - low
+    return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
 
 
 def _order_statistics(df: DataFrame, wanted: dict[str, tuple[int, list[int]]]) -> dict[str, dict[int, float]]:

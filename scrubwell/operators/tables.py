@@ -79,13 +79,6 @@ def row_to_rows(row: DataFrame, schema: dict[str, str], entries) -> DataFrame:
     return row.select(F.stack(F.lit(len(entries)), *flat).alias(*names))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the source comes in far fewer pieces (one small file, say). A
-    source with about as many splits as the cluster has cores is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 _local_folder: str | None = None
 
 

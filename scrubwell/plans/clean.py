@@ -24,7 +24,7 @@ from ..operators.infer import (EVIDENCE, NUMERIC_KINDS, Evidence, date_shape_cou
                                evidence_columns, needs_date_shapes)
 from ..operators.outliers import outliers
 from ..operators.profile import invalid_contact_cells, quality
-from ..operators.tables import col, literal_table, nan_to_null, spread, stage
+from ..operators.tables import col, literal_table, nan_to_null, stage
 
 CONVERTED_KINDS = (*NUMERIC_KINDS, "date", "boolean")
 STRATEGY_ALIASES = {  # fixed values: the long names of the strategies
@@ -169,7 +169,7 @@ def _any(flags: list[Column]) -> Column:
 
 def fit(df: DataFrame) -> tuple[CleaningPlan, dict]:
     """The plan for a table and the counters of the passes that produced it."""
-    source = nan_to_null(spread(df))
+    source = nan_to_null(df)
     renamed = list(zip(df.columns, names.unique_names(map(names.standard_name, df.columns))))
     df = source.toDF(*[new for _, new in renamed])
     stats = _scan(df)
@@ -199,8 +199,7 @@ def fit(df: DataFrame) -> tuple[CleaningPlan, dict]:
     dictionary = []
     if holders:
         # only label columns reach this pass; the blank-row filter cannot change their counts
-        narrow = _normalized(df.select(*[col(c) for c in holders]))
-        counts = labels.value_counts(narrow, holders, collapsed=True)
+        counts = labels.value_counts(df, holders, lambda c: _spelled("", text.missing_tokens(c)))
         table = labels.finish_dictionary(labels.rule_verdicts(counts, holders))
         dictionary = [r.asDict() for r in table.select("column", "value", "cnt", "canonical").collect()]
     label_map: dict[str, dict[str, str]] = {}
@@ -273,7 +272,6 @@ def clean(df: DataFrame, strategy: str = "leave", analyze_outliers: bool = True)
     strategy = STRATEGY_ALIASES.get(strategy, strategy)
     if strategy not in missing.STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; choose from {missing.STRATEGIES}")
-    df = spread(df)
     plan, fitted = fit(df)
     stats, kinds = fitted["stats"], plan.kinds
     kept = [new for _, new in plan.columns]

@@ -14,10 +14,16 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     return text.na.fill("")
 
 
-def read_table(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
-    """Typed source (parquet, orc, json, avro …) or, with ``format="table"``, a catalog table."""
+def read_table(spark: SparkSession, path: str, format: str = "parquet", spread: bool = False, **options) -> DataFrame:
+    """Typed source (parquet, orc, json, avro …) or, with ``format="table"``, a catalog table.
+
+    ``spread`` deals the rows out over all cores when the source comes in far fewer splits than
+    there are cores (one small file, say). A source with enough splits is never shuffled."""
     if format == "csv":
-        return read_csv(spark, path, **options)
-    if format == "table":
-        return spark.table(path)
-    return spark.read.format(format).options(**options).load(path)
+        df = read_csv(spark, path, **options)
+    elif format == "table":
+        df = spark.table(path)
+    else:
+        df = spark.read.format(format).options(**options).load(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() * 2 <= cores else df
