@@ -62,6 +62,16 @@ def _normalized(df: DataFrame) -> DataFrame:
         _spelled(f.name, col(f.name)).alias(f.name) if _is_text(f) else col(f.name) for f in df.schema])
 
 
+def _has_value(df: DataFrame) -> Column:
+    """True for rows with at least one cell that is not missing. The test reads the raw cells: a
+    filter on normalised ones would be pushed below and evaluate every rule a second time. It
+    stops at the first filled cell."""
+    texts = [col(f.name) for f in df.schema if _is_text(f)]
+    others = [col(f.name).isNotNull() for f in df.schema if not _is_text(f)]
+    filled = [F.exists(F.array(*texts), lambda cell: text.missing_tokens(cell).isNotNull())] if texts else []
+    return _any([F.coalesce(test, F.lit(False)) for test in others + filled])
+
+
 @dataclass(frozen=True)
 class CleaningPlan:
     """What the data decided, ready to be applied to it or to later rows of the same shape."""
@@ -73,7 +83,7 @@ class CleaningPlan:
     def normalize(self, df: DataFrame) -> DataFrame:
         """Kept columns under standard names, text normalised, blank rows gone."""
         renamed = nan_to_null(df).select(*[col(old).alias(new) for old, new in self.columns])
-        return _normalized(renamed).na.drop(how="all")
+        return _normalized(renamed.where(_has_value(renamed)))
 
     def convert(self, df: DataFrame) -> DataFrame:
         """Kinds become types; then values outside an implied range become NULL."""
@@ -135,9 +145,9 @@ def _scan(df: DataFrame) -> dict[str, dict]:
                 F.lit(role not in ("email", "phone", "id")), F.lit(_is_text(f) and role is None))
 
     any_raw = _any([F.col(f"has{i}") for i in range(len(fields))])
-    any_norm = _any([F.col(f"norm{i}").isNotNull() if i in texts else F.col(f"has{i}") for i in range(len(fields))])
+    any_free = _any([F.col(f"free{i}").isNotNull() if i in texts else F.col(f"has{i}") for i in range(len(fields))])
     cells = spelled.select(
-        any_raw.alias("any_raw"), any_norm.alias("any_norm"),
+        any_raw.alias("any_raw"), any_free.alias("any_free"),
         F.stack(F.lit(len(fields)), *[x for i, f in enumerate(fields) for x in entry(i, f)]).alias(
             "i", "raw", "free", "norm", "alias", "num", "has", "low", "high", "measure", "open"))
     cells = cells.select("*", F.when(F.col("measure"), F.coalesce("num", parse.number_in(F.col("norm")))).alias("parsed"),
@@ -149,7 +159,7 @@ def _scan(df: DataFrame) -> dict[str, dict]:
     outside = F.col("low").isNotNull() & ((value < F.col("low")) | (value > F.col("high")))
     found = cells.groupBy("i").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("has").alias("has"),
-        F.count_if(~F.col("any_raw")).alias("blank_rows"), F.count_if(~F.col("any_norm")).alias("empty_rows"),
+        F.count_if(~F.col("any_raw")).alias("blank_rows"), F.count_if(~F.col("any_free")).alias("empty_rows"),
         F.count_if(text.changed(F.col("raw"), F.col("free"))).alias("trimmed"),
         F.count_if(text.changed_null_safe(F.col("raw"), F.col("free"))).alias("tokens"),
         F.count_if(text.changed(F.col("free"), F.col("norm"))).alias("respelled"),
