@@ -249,8 +249,9 @@ def apply_semantic_aliases(df: DataFrame) -> DataFrame:
 # --- consistency report -------------------------------------------------------------------
 def alias_groups(df: DataFrame) -> DataFrame:
     """(column, groups): per non-numeric column with 10 or more filled cells, how many
-    normalised spellings stand for two or more raw spellings. Comparing the smallest with the
-    largest raw spelling needs no distinct count, and long texts travel as digests."""
+    normalised spellings stand for two or more raw spellings. A group is mixed when the smallest
+    and largest fingerprint (128 bits) of its raw cells differ: number buffers keep the
+    aggregation hash-based with one shuffle, and long texts travel as digests."""
     numeric = set(names.numeric_columns(df))
     plain = [f.name for f in df.schema
              if f.name not in numeric and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
@@ -260,9 +261,10 @@ def alias_groups(df: DataFrame) -> DataFrame:
     cells = long_form(df.select(*[text.trim(col(c).cast("string")).alias(c) for c in plain]))
     keyed = cells.where(F.col("value").isNotNull()).select(
         "column", text.digest_long(F.regexp_replace(F.lower("value"), "[^a-z0-9]+", "")).alias("norm"),
-        text.digest_long(F.col("value")).alias("raw"))
+        F.xxhash64("value").alias("a"), F.xxhash64(F.lit("raw"), "value").alias("b"))
     groups = keyed.groupBy("column", "norm").agg(
-        F.min("raw").alias("first"), F.max("raw").alias("last"), F.count(F.lit(1)).alias("n"))
-    mixed = F.count_if((F.col("first") != F.col("last")) & (F.col("norm") != ""))
-    return (groups.groupBy("column").agg(mixed.alias("groups"), F.sum("n").alias("filled"))
+        F.count(F.lit(1)).alias("n"), F.max(F.col("a")).alias("a"), F.min(F.col("a")).alias("a_low"),
+        F.max(F.col("b")).alias("b"), F.min(F.col("b")).alias("b_low"))
+    mixed = (F.col("norm") != "") & ((F.col("a") != F.col("a_low")) | (F.col("b") != F.col("b_low")))
+    return (groups.groupBy("column").agg(F.count_if(mixed).alias("groups"), F.sum("n").alias("filled"))
             .where((F.col("filled") >= 10) & (F.col("groups") > 0)).select("column", "groups"))
