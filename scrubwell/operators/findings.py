@@ -12,7 +12,7 @@ from ..functions import names, text, vocab
 from .labels import alias_groups
 from .outliers import outliers
 from .profile import column_stats, duplicate_count, round_half_up
-from .tables import col, literal_table, nan_to_null, row_to_rows
+from .tables import col, literal_table, nan_to_null
 
 _COUNT = "%,d"
 SEVERITIES = ("High", "Medium", "Low")
@@ -28,44 +28,67 @@ _MESSAGES = {
     "age_range": _COUNT + " values fall outside the conservative 1–120 age range.",
     "aliases": _COUNT + " normalized value groups contain multiple raw spellings.",
 }
+_FINDING = {"rule": "string", "severity": "string", "column": "string", "n": "long", "finding": "string"}
 _MIN_CARDINALITY_ROWS, _CARDINALITY_SHARE = 20, 0.98  # fixed values
 
 
-def _finding(rows: DataFrame, rule: Column | str, severity: Column | str, column: Column, n: Column,
-             message: str, *values: Column) -> DataFrame:
+def _rule(hit: Column, rule: Column | str, severity: Column | str, column: Column, n: Column,
+          message: str, *values: Column) -> Column:
+    """The finding a row gives rise to, NULL where the rule does not hit."""
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
-    return rows.select(
+    return F.when(hit, F.struct(
         as_column(rule).alias("rule"), as_column(severity).alias("severity"), column.alias("column"),
-        n.cast("long").alias("n"), F.format_string(_MESSAGES[message], *values).alias("finding"))
+        n.cast("long").alias("n"), F.format_string(_MESSAGES[message], *values).alias("finding")))
 
 
-def missing_findings(stats: DataFrame, columns: list[str]) -> DataFrame:
+def _emit(rows: DataFrame, *rules: Column) -> DataFrame:
+    """All findings of a table of aggregates, which is computed once for all its rules."""
+    return rows.select(F.inline(F.array_compact(F.array(*rules))))
+
+
+def _missing(columns: list[str]) -> Column:
     n = F.col("rows") - F.col("non_null")
-    share = n * 100.0 / F.col("rows")
+    share = F.try_divide(n * 100.0, F.col("rows"))
     severity = F.when(share >= 30, "High").when(share >= 10, "Medium").otherwise("Low")
     contact = [c for c in columns if names.is_contact_or_id(c)]
     rule = F.when(F.col("column").isin(contact), "missing_contact").otherwise("missing_data")
-    return _finding(stats.where(n > 0), rule, severity, F.col("column"), n,
-                    "missing", n, round_half_up(share, 1))
-
-
-def duplicate_findings(duplicates: DataFrame) -> DataFrame:
-    n = F.col("duplicate_rows")
-    return _finding(duplicates.where(n > 0), "duplicates", "Medium", F.lit("Dataset"), n, "duplicates", n)
+    return _rule(n > 0, rule, severity, F.col("column"), n, "missing", n, round_half_up(share, 1))
 
 
-def constant_findings(stats: DataFrame) -> DataFrame:
+def _constant() -> Column:
     hit = (F.col("rows") > 0) & (F.col("distinct") <= 1)
-    return _finding(stats.where(hit), "constant", "Low", F.col("column"), F.col("distinct"), "constant")
+    return _rule(hit, "constant", "Low", F.col("column"), F.col("distinct"), "constant")
 
 
-def cardinality_findings(stats: DataFrame, columns: list[str]) -> DataFrame:
+def _cardinality(columns: list[str]) -> Column:
     skip = [c for c in columns if names.is_contact_or_id(c)]
     share = F.col("distinct") / F.greatest(F.col("non_null"), F.lit(1))
     hit = ((F.col("dtype") == "string") & (F.col("rows") >= _MIN_CARDINALITY_ROWS)
            & (share >= _CARDINALITY_SHARE) & ~F.col("column").isin(skip))
-    return _finding(stats.where(hit), "cardinality", "Low", F.col("column"), F.col("distinct"),
-                    "cardinality", round_half_up(share * 100.0, 0))
+    return _rule(hit, "cardinality", "Low", F.col("column"), F.col("distinct"), "cardinality",
+                 round_half_up(share * 100.0, 0))
+
+
+def missing_findings(stats: DataFrame, columns: list[str]) -> DataFrame:
+    return _emit(stats, _missing(columns))
+
+
+def constant_findings(stats: DataFrame) -> DataFrame:
+    return _emit(stats, _constant())
+
+
+def cardinality_findings(stats: DataFrame, columns: list[str]) -> DataFrame:
+    return _emit(stats, _cardinality(columns))
+
+
+def column_findings(stats: DataFrame, columns: list[str]) -> DataFrame:
+    """The three rules above over one computation of the column statistics."""
+    return _emit(stats, _missing(columns), _constant(), _cardinality(columns))
+
+
+def duplicate_findings(duplicates: DataFrame) -> DataFrame:
+    n = F.col("duplicate_rows")
+    return _emit(duplicates, _rule(n > 0, "duplicates", "Medium", F.lit("Dataset"), n, "duplicates", n))
 
 
 def cell_findings(df: DataFrame) -> DataFrame:
@@ -82,29 +105,21 @@ def cell_findings(df: DataFrame) -> DataFrame:
         if names.column_key(c) in vocab.AGE_KEYS and c in numeric:
             checks.append(("age_range", c, (col(c) < 1) | (col(c) > 120)))
     if not checks:
-        return _empty(df)
+        return literal_table(df.sparkSession, _FINDING, [])
     row = df.agg(*[F.count_if(bad).alias(f"_{i}") for i, (_, _, bad) in enumerate(checks)])
-    rows = row_to_rows(row, {"rule": "string", "column": "string", "n": "long"}, [
-        (F.lit(rule), F.lit(c), F.col(f"_{i}")) for i, (rule, c, _) in enumerate(checks)]).where("n > 0")
-    n = F.col("n")
-    rules = sorted({rule for rule, _, _ in checks})
-    return reduce(DataFrame.unionByName, [
-        _finding(rows.where(F.col("rule") == rule), rule, "High", F.col("column"), n, rule, n) for rule in rules])
+    return _emit(row, *[
+        _rule(F.col(f"_{i}") > 0, rule, "High", F.lit(c), F.col(f"_{i}"), rule, F.col(f"_{i}"))
+        for i, (rule, c, _) in enumerate(checks)])
 
 
 def outlier_findings(found: DataFrame) -> DataFrame:
     n = F.col("outliers")
-    return _finding(found.where(n > 0), "outliers", "Medium", F.col("column"), n, "outliers", n)
+    return _emit(found, _rule(n > 0, "outliers", "Medium", F.col("column"), n, "outliers", n))
 
 
 def alias_findings(groups: DataFrame) -> DataFrame:
     n = F.col("groups")
-    return _finding(groups, "aliases", "Medium", F.col("column"), n, "aliases", n)
-
-
-def _empty(df: DataFrame) -> DataFrame:
-    return literal_table(df.sparkSession, {
-        "rule": "string", "severity": "string", "column": "string", "n": "long", "finding": "string"}, [])
+    return _emit(groups, _rule(n > 0, "aliases", "Medium", F.col("column"), n, "aliases", n))
 
 
 def with_guidance(findings: DataFrame) -> DataFrame:
@@ -140,8 +155,7 @@ def findings(df: DataFrame) -> DataFrame:
     df = nan_to_null(df)
     stats = column_stats(df)
     return reduce(DataFrame.unionByName, [
-        missing_findings(stats, df.columns), duplicate_findings(duplicate_count(df)),
-        constant_findings(stats), cardinality_findings(stats, df.columns), cell_findings(df),
+        column_findings(stats, df.columns), duplicate_findings(duplicate_count(df)), cell_findings(df),
         outlier_findings(outliers(df)), alias_findings(alias_groups(df))])
 
 
@@ -155,8 +169,7 @@ def report(df: DataFrame) -> Report:
     """Findings with guidance, counts per severity, and general advice. The findings are a few
     rows per column; they are computed once and kept as a small literal table."""
     computed = findings(df)
-    rows = [tuple(r) for r in computed.collect()]
-    found = literal_table(df.sparkSession, dict(zip(computed.columns, (
-        "string", "string", "string", "long", "string"))), rows)
+    rows = [tuple(r) for r in computed.select(*_FINDING).collect()]
+    found = literal_table(df.sparkSession, _FINDING, rows)
     advice = vocab.REVIEW_ADVICE if rows else (vocab.NO_FINDINGS_ADVICE,)
     return Report(with_guidance(found), summarize(found), advice)

@@ -82,7 +82,8 @@ class CleaningPlan:
 
     def normalize(self, df: DataFrame) -> DataFrame:
         """Kept columns under standard names, text normalised, blank rows gone."""
-        renamed = nan_to_null(df).select(*[col(old).alias(new) for old, new in self.columns])
+        # renamed by position, since names that differ in case only cannot be told apart by name
+        renamed = nan_to_null(names.standardize_names(df)).select(*[col(new) for _, new in self.columns])
         return _normalized(renamed.where(_has_value(renamed)))
 
     def convert(self, df: DataFrame) -> DataFrame:
@@ -179,9 +180,9 @@ def _any(flags: list[Column]) -> Column:
 
 def fit(df: DataFrame) -> tuple[CleaningPlan, dict]:
     """The plan for a table and the counters of the passes that produced it."""
-    source = nan_to_null(df)
-    renamed = list(zip(df.columns, names.unique_names(map(names.standard_name, df.columns))))
-    df = source.toDF(*[new for _, new in renamed])
+    old_names = df.columns
+    df = nan_to_null(names.standardize_names(df))
+    renamed = list(zip(old_names, df.columns))
     stats = _scan(df)
     if not stats:  # a table without rows keeps its columns; names and types decide the kinds
         kinds = {f.name: decide_kind(f.name, f.dataType) for f in df.schema}

@@ -164,3 +164,21 @@ def test_dedupe_counts_with_a_hot_row(spark):
     df = hot.unionByName(rest)
     assert profile.duplicate_count(df).first()["duplicate_rows"] == 29999
     assert missing.dedupe(df).count() == 60001
+
+
+def test_awkward_column_names(spark):
+    df = table(spark, [("1.5", " A ", "x", 1.0), ("2.5", "b", None, 2.0), ("3", "c", "x", 3.0)],
+               "`a.b` string, `Name` string, `name` string, `c``d e` double")
+    result = clean(df)
+    assert result.data.columns == ["a_b", "Name", "name_1", "c_d_e"]
+    assert result.log["Final missing cells"] == 1 and result.plan.kinds["a_b"] == "numeric"
+    plain = df.select("`a.b`", "`c``d e`")
+    assert {r["column"]: r["distinct"] for r in profile.profile(plain).collect()} == {"a.b": 3, "c`d e": 3}
+    assert profile.quality(plain).first()["rows"] == 3
+    assert report(plain).findings.count() == 0
+
+
+def test_alias_groups_count_mixed_spellings(spark):
+    rows = [("New York",)] * 5 + [("new-york",)] * 5 + [("Paris",)] * 4 + [("東京",), ("大阪",)]
+    found = report(table(spark, rows, "place string")).findings.where("category = 'Category Consistency'").collect()
+    assert [r["n"] for r in found] == [1]
