@@ -33,20 +33,20 @@ _MIN_CARDINALITY_ROWS, _CARDINALITY_SHARE = 20, 0.98  # fixed values
 
 
 def _rule(hit: Column, rule: Column | str, severity: Column | str, column: Column, n: Column,
-          message: str, *values: Column) -> Column:
-    """The finding a row gives rise to, NULL where the rule does not hit."""
+          message: str, *values: Column) -> tuple[Column, ...]:
+    """Whether a row gives rise to a finding, and the finding."""
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.when(hit, F.struct(
-        as_column(rule).alias("rule"), as_column(severity).alias("severity"), column.alias("column"),
-        n.cast("long").alias("n"), F.format_string(_MESSAGES[message], *values).alias("finding")))
+    return (hit, as_column(rule), as_column(severity), column, n.cast("long"),
+            F.format_string(_MESSAGES[message], *values))
 
 
-def _emit(rows: DataFrame, *rules: Column) -> DataFrame:
+def _emit(rows: DataFrame, *rules: tuple[Column, ...]) -> DataFrame:
     """All findings of a table of aggregates, which is computed once for all its rules."""
-    return rows.select(F.inline(F.array_compact(F.array(*rules))))
+    fields = [x for rule in rules for x in rule]
+    return rows.select(F.stack(F.lit(len(rules)), *fields).alias("hit", *_FINDING)).where("hit").drop("hit")
 
 
-def _missing(columns: list[str]) -> Column:
+def _missing(columns: list[str]) -> tuple[Column, ...]:
     n = F.col("rows") - F.col("non_null")
     share = F.try_divide(n * 100.0, F.col("rows"))
     severity = F.when(share >= 30, "High").when(share >= 10, "Medium").otherwise("Low")
@@ -55,12 +55,12 @@ def _missing(columns: list[str]) -> Column:
     return _rule(n > 0, rule, severity, F.col("column"), n, "missing", n, round_half_up(share, 1))
 
 
-def _constant() -> Column:
+def _constant() -> tuple[Column, ...]:
     hit = (F.col("rows") > 0) & (F.col("distinct") <= 1)
     return _rule(hit, "constant", "Low", F.col("column"), F.col("distinct"), "constant")
 
 
-def _cardinality(columns: list[str]) -> Column:
+def _cardinality(columns: list[str]) -> tuple[Column, ...]:
     skip = [c for c in columns if names.is_contact_or_id(c)]
     share = F.col("distinct") / F.greatest(F.col("non_null"), F.lit(1))
     hit = ((F.col("dtype") == "string") & (F.col("rows") >= _MIN_CARDINALITY_ROWS)
