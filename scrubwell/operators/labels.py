@@ -260,8 +260,9 @@ def alias_groups(df: DataFrame) -> DataFrame:
         return literal_table(df.sparkSession, schema, [])
     cells = long_form(df.select(*[text.trim(col(c).cast("string")).alias(c) for c in plain]))
     keyed = cells.where(F.col("value").isNotNull()).select(
-        "column", text.digest_long(F.regexp_replace(F.lower("value"), "[^a-z0-9]+", "")).alias("norm"),
+        "column", F.regexp_replace(F.lower("value"), "[^a-z0-9]+", "").alias("norm"),
         F.xxhash64("value").alias("a"), F.xxhash64(F.lit("raw"), "value").alias("b"))
+    keyed = keyed.withColumn("norm", text.digest_long(F.col("norm")))
     groups = keyed.groupBy("column", "norm").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col("a")).alias("a"), F.min(F.col("a")).alias("a_low"),
         F.max(F.col("b")).alias("b"), F.min(F.col("b")).alias("b_low"))
