@@ -1,8 +1,9 @@
 """Registered queries of this package: name -> (query, oracle SQL or None)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .lm import score_texts
 from .ngram_join import jaccard_components
 
 
@@ -10,10 +11,19 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(read(spark, folder, "documents"), held_out=remainder(5) == 1)
+
+
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(read(spark, folder, "documents"))
 
 
 CHECKS = {
+    "op3_lm_score": (op3_lm_score, None),
     "op6_ngram_join": (op6_ngram_join, None),
 }
