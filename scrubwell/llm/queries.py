@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .lm import score_texts
 from .ngram_join import jaccard_components
+from .token_files import token_digests
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,11 +20,16 @@ def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(read(spark, folder, "documents"), held_out=remainder(5) == 1)
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(read(spark, folder, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(read(spark, folder, "documents"))
 
 
 CHECKS = {
     "op3_lm_score": (op3_lm_score, None),
+    "op5_token_files": (op5_token_files, None),
     "op6_ngram_join": (op6_ngram_join, None),
 }
