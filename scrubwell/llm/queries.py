@@ -3,9 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.tables import stage
+from . import chat
 from .lm import score_texts
 from .ngram_join import jaccard_components
 from .token_files import token_digests
+from .urls import LOWER, UPPER, filter_urls
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,8 +31,56 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(read(spark, folder, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    formatted = stage(chat.format_paths(chat.threads(turns)), "chat-formatted")
+    return chat.conversation_digests(formatted).drop("leaf").withColumnRenamed("conv", "conv_id")
+
+
+OP9_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|start|>' || '<|text|>' || '<|end|>') + length(replace(replace(role, '&', '&amp;'), '<', '&lt;'))
+      + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')))::BIGINT AS formatted_chars
+FROM t WHERE conv_id IS NOT NULL GROUP BY conv_id
+"""
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = read(spark, folder, "pages").select("page_id", "url")
+    return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP10_SQL = f"""
+WITH r(rhost, rpath, rverdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+k AS (SELECT DISTINCT host, path FROM p),
+m AS (SELECT host, path, max_by(rhost || rpath, length(rhost) + length(rpath)) AS rule, max_by(rverdict, length(rhost) + length(rpath)) AS ruled
+      FROM k JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path)
+SELECT page_id, p.host, p.path, rule, coalesce(ruled, 'allow') AS verdict
+FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path
+"""
+
+
 CHECKS = {
     "op3_lm_score": (op3_lm_score, None),
     "op5_token_files": (op5_token_files, None),
     "op6_ngram_join": (op6_ngram_join, None),
+    "op9_chat_format": (op9_chat_format, OP9_SQL),
+    "op10_url_filter": (op10_url_filter, OP10_SQL),
 }
