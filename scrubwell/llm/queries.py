@@ -7,6 +7,7 @@ from ..operators.tables import stage
 from . import chat
 from .lm import score_texts
 from .ngram_join import jaccard_components
+from .quality import RULES, judge
 from .token_files import token_digests
 from .urls import LOWER, UPPER, filter_urls
 
@@ -19,6 +20,53 @@ def remainder(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % of
 
 
+def quality_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"))
+
+
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judge(read(spark, folder, "documents"), quality_labels(spark, folder))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_CUTS = ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, cs in RULES.items() for i, c in enumerate(cs))
+OP2_MEASURES = r"""
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM {documents}),
+w AS (SELECT rid, doc_id, stratum, text, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM d),
+win AS (SELECT rid, i, words[i:i+2] AS tri FROM (SELECT rid, words, unnest(generate_series(1, len(words) - 2)) AS i FROM w)),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (
+          SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, tri) AS c FROM win) WHERE c > 1) GROUP BY rid),
+m AS (SELECT w.rid, doc_id, stratum, len(words)::BIGINT AS n_words, length(list_aggregate(words, 'string_agg', '')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks,
+             len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN rep ON w.rid = rep.rid),
+v AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+             CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_per_word,
+             CASE WHEN n_words > 0 THEN n_marks / n_words ELSE 0 END AS marks_per_word,
+             CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeated_words,
+             CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS repeated_lines,
+             CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length FROM m),
+long AS (UNPIVOT (SELECT rid, doc_id, stratum, base_failed, symbols_per_word::DOUBLE AS symbols_per_word, marks_per_word::DOUBLE AS marks_per_word,
+             repeated_words::DOUBLE AS repeated_words, repeated_lines::DOUBLE AS repeated_lines, word_length::DOUBLE AS word_length FROM v)
+         ON symbols_per_word, marks_per_word, repeated_words, repeated_lines, word_length INTO NAME rule VALUE x),
+cut(rule, step, cutoff) AS (VALUES """ + _CUTS + r"""),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+t AS (SELECT stratum, long.rule, step, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k
+      FROM long JOIN cut ON long.rule = cut.rule WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+p AS (SELECT t.*, CASE WHEN k >= n * 0.004 THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.004) + (n - i) * ln(0.996)))
+             FROM (SELECT unnest(generate_series(0, k)) AS i)) END <= 0.05 / (5 * (SELECT count(DISTINCT stratum) FROM t)) AS passed FROM t),
+lim AS (SELECT stratum, rule, max(cutoff) FILTER (step + 1 = least(ended, steps)) AS cutoff FROM (
+          SELECT *, coalesce(min(step) FILTER (NOT passed) OVER (PARTITION BY stratum, rule), 1000) AS ended,
+                 count(*) OVER (PARTITION BY stratum, rule) AS steps FROM p) GROUP BY ALL),
+bad AS (SELECT DISTINCT rid FROM long JOIN lim ON long.rule = lim.rule AND long.stratum = lim.stratum WHERE x > cutoff),
+judged AS (SELECT v.*, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM v)
+"""
+OP2_SQL = "WITH " + OP2_MEASURES.replace("{documents}", "documents") + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged
+"""
+
+
 def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(read(spark, folder, "documents"), held_out=remainder(5) == 1)
 
@@ -78,6 +126,7 @@ FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path
 
 
 CHECKS = {
+    "op2_quality_rules": (op2_quality_rules, OP2_SQL),
     "op3_lm_score": (op3_lm_score, None),
     "op5_token_files": (op5_token_files, None),
     "op6_ngram_join": (op6_ngram_join, None),
