@@ -9,6 +9,7 @@ from .lm import score_texts
 from .ngram_join import jaccard_components
 from .quality import RULES, judge
 from .token_files import token_digests
+from .toxicity import score_toxicity
 from .urls import LOWER, UPPER, filter_urls
 
 
@@ -20,6 +21,11 @@ def remainder(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % of
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = read(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    return score_toxicity(read(spark, folder, "documents"), labels, held_out=remainder(4) == 2)
+
+
 def quality_labels(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"))
 
@@ -32,8 +38,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 _CUTS = ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, cs in RULES.items() for i, c in enumerate(cs))
 OP2_MEASURES = r"""
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM {documents}),
-w AS (SELECT rid, doc_id, stratum, text, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') AS words,
-             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM d),
+w AS (SELECT rid, doc_id, stratum, text, list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM d),
 win AS (SELECT rid, i, words[i:i+2] AS tri FROM (SELECT rid, words, unnest(generate_series(1, len(words) - 2)) AS i FROM w)),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (
           SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, tri) AS c FROM win) WHERE c > 1) GROUP BY rid),
@@ -126,6 +134,7 @@ FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path
 
 
 CHECKS = {
+    "op1_toxicity": (op1_toxicity, None),
     "op2_quality_rules": (op2_quality_rules, OP2_SQL),
     "op3_lm_score": (op3_lm_score, None),
     "op5_token_files": (op5_token_files, None),

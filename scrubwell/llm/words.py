@@ -31,6 +31,7 @@ class Words:
     starts: np.ndarray    # byte offsets of the words
     ends: np.ndarray
     offsets: np.ndarray   # for each text the index of its first word, and the end
+    sums: tuple | None = None
 
     def __len__(self) -> int:
         return len(self.text_at) - 1
@@ -39,8 +40,13 @@ class Words:
         """Index of the text of each word."""
         return np.repeat(np.arange(len(self)), np.diff(self.offsets))
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
+    def hashes(self, first_bytes: int | None = None) -> np.ndarray:
+        """One hash a word, of its first bytes only if a number is given."""
+        ends = self.ends if first_bytes is None else np.minimum(self.ends, self.starts + first_bytes)
+        if self.sums is None:
+            self.sums = _sums(self.data)
+        total, inverse = self.sums
+        return mix((total[ends] - total[self.starts]) * inverse[self.starts] + (ends - self.starts).astype(np.uint64))
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``size`` words, and the offsets of each text's runs. A text with
@@ -58,7 +64,8 @@ class Words:
         return out, offsets
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of byte times power of the base, and the inverse powers."""
     n = len(data)
     power = np.ones(n + 1, np.uint64)
     power[1:] = _BASE
@@ -68,7 +75,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     power[0] = 1
     power[1:] = pow(_BASE, -1, 1 << 64)
     np.cumprod(power, out=power)
-    return mix((total[ends] - total[starts]) * power[starts] + (ends - starts).astype(np.uint64))
+    return total, power
 
 
 def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +92,13 @@ def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def words(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of a text column, in slices of whole texts of about ``limit`` bytes."""
+def words(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, between: np.ndarray | None = None) -> Iterator[Words]:
+    """The words of a text column, in slices of whole texts of about ``limit`` bytes.
+    ``between`` (256 flags) names other bytes than white space that part words."""
     space = np.zeros(256, bool)
     space[list(_SPACES)] = True
+    if between is not None:
+        space = between
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     data, offsets = raw(column)
