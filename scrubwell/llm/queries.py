@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.tables import stage
 from . import chat
+from .decontaminate import leaks
 from .lm import score_texts
 from .ngram_join import jaccard_components
 from .quality import RULES, judge
@@ -79,6 +80,10 @@ def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(read(spark, folder, "documents"), held_out=remainder(5) == 1)
 
 
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(read(spark, folder, "documents"))
 
@@ -137,6 +142,7 @@ CHECKS = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_quality_rules": (op2_quality_rules, OP2_SQL),
     "op3_lm_score": (op3_lm_score, None),
+    "op4_decontaminate": (op4_decontaminate, None),
     "op5_token_files": (op5_token_files, None),
     "op6_ngram_join": (op6_ngram_join, None),
     "op9_chat_format": (op9_chat_format, OP9_SQL),
