@@ -8,6 +8,7 @@ from . import chat
 from .decontaminate import leaks
 from .lm import score_texts
 from .ngram_join import jaccard_components
+from .pii import find_personal_data
 from .quality import RULES, judge
 from .token_files import token_digests
 from .toxicity import score_toxicity
@@ -92,6 +93,10 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(read(spark, folder, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(read(spark, folder, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -145,6 +150,7 @@ CHECKS = {
     "op4_decontaminate": (op4_decontaminate, None),
     "op5_token_files": (op5_token_files, None),
     "op6_ngram_join": (op6_ngram_join, None),
+    "op8_personal_data": (op8_personal_data, None),
     "op9_chat_format": (op9_chat_format, OP9_SQL),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
 }
