@@ -38,21 +38,24 @@ def _pack(tokens: np.ndarray) -> bytes:
 
 def _unpack(payload: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int32)
 
 
 def _pair_table(tokens, lengths, held, size):
     """Distinct pairs (history * size + word) of a block, their training counts, and for each
     token the training flag. History ``size - 1`` is the begin of a text."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[(np.cumsum(lengths) - lengths)] = size - 1
+    keys = np.empty(len(tokens), np.int64)
+    keys[1:] = tokens[:-1]
+    keys[np.cumsum(lengths) - lengths] = size - 1
+    keys *= size
+    keys += tokens
     trains = np.repeat(~held, lengths)
-    keys = before * size + tokens
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(trains[order].astype(np.int64), first), trains
+    keys <<= 1
+    keys |= trains
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] >> 1 != keys[:-1] >> 1)))
+    seen = np.add.reduceat(keys & 1, first)
+    return keys[first] >> 1, seen, trains
 
 
 def _encode(block_bytes: int):
@@ -185,7 +188,7 @@ class Automaton:
         last = max(len(self.arcs) - 1, 0)
         for t, live in enumerate(ends):
             token, at = tokens[start[:live] + t], state[:live]
-            key = at * self.size + token
+            key = at * self.size + token  # states are 64-bit
             arc = np.minimum(np.searchsorted(self.arcs, key), last)
             found = self.arcs[arc] == key if len(self.arcs) else np.zeros(live, bool)
             # no arc: pay the escape weight, fall to the state without history, take its arc there
@@ -229,7 +232,7 @@ def _score(total: float, types: int, growth: float):
 
 
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None,
-                block_bytes: int = 12 << 20, bucket_tokens: int = 2_000_000) -> DataFrame:
+                block_bytes: int = 10 << 20, bucket_tokens: int = 2_000_000) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     ``held_out`` (a boolean column; null counts as false) marks rows that are scored but never
