@@ -28,15 +28,18 @@ RULES = {
 }
 
 
-def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """(id, stratum, n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines, n_repeat_words).
+def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
+             carry: Column | None = None) -> DataFrame:
+    """(id, row, stratum, n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines, n_repeat_words); ``row`` is
+    whatever ``carry`` names, else null.
 
     Words are runs of other characters than 0x20 and 0x09-0x0D; a null text has none. Repeated
     words stand in a three-word window that occurs twice or more in the text; windows are told
     apart by 64-bit hashes of their words, cut by the bits that number the positions.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("text"))
+    carry = F.lit(None).cast("boolean") if carry is None else carry
+    rows = docs.select(F.col(id_col).alias("id"), carry.alias("row"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("text"))
 
     def occurrences(of: str) -> Column:
         rest = F.col("text")
@@ -45,10 +48,10 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return (F.length("text") - F.length(rest)).cast("long")
 
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.select("id", "stratum", occurrences(SYMBOLS).alias("n_symbols"), occurrences("!?").alias("n_marks"),
+    rows = rows.select("id", "row", "stratum", occurrences(SYMBOLS).alias("n_symbols"), occurrences("!?").alias("n_marks"),
                        lines.alias("lines"), F.array_remove(F.split("text", SPACES, -1), "").alias("words"))
     places = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.size("words") + 1)).cast("int"))
-    rows = rows.select("id", "stratum", "n_symbols", "n_marks", F.size("lines").cast("long").alias("n_lines"),
+    rows = rows.select("id", "row", "stratum", "n_symbols", "n_marks", F.size("lines").cast("long").alias("n_lines"),
                        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                        F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
                        "words", places.alias("places"))
@@ -64,7 +67,7 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("at", F.sort_array(F.transform("found", lambda x: x.bitwiseAND(F.col("places") - 1)))).drop("found", "places")
     covered = F.aggregate(F.transform("at", lambda x, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get("at", j + 1) - x, F.lit(3).cast("long")))),
                           F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select("id", "stratum", "n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"))
+    return rows.select("id", "row", "stratum", "n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"))
 
 
 def rule_values() -> dict[str, Column]:
@@ -128,6 +131,19 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = 0.02, error
     return best.where("ended > 0").select("stratum", "rule", F.element_at("steps", F.least("ended", F.size("steps")).cast("int"))["cutoff"].alias("cutoff"))
 
 
+def _limits(chosen: DataFrame) -> DataFrame:
+    """One row a stratum, one column a rule."""
+    return stage(chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"limit_{r}") for r in RULES)),
+                 "quality-limits")
+
+
+def _verdicts(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    values = rule_values()
+    failed = F.array_compact(F.array(*(F.when(values[r] > F.col(f"limit_{r}"), F.lit(r)) for r in RULES)))
+    out = measured.join(limits, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("rejected_by", failed)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+
+
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
           risk: float = 0.02, error: float = 0.05) -> DataFrame:
     """Measures, base_failed, rejected_by (names of the rules above their cutoffs) and kept for
@@ -135,11 +151,22 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     cutoffs and only the base rules apply. A null or empty text fails the base rules. Rows with a
     null id are judged, not learnt from; repeated rows are judged alike; an empty table gives no rows.
     """
-    measured = stage(measures(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col), "quality-measures")
-    chosen = cutoffs(measured, labels, risk=risk, error=error)
-    limits = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"limit_{r}") for r in RULES))
-    values = rule_values()
-    failed = F.array_compact(F.array(*(F.when(values[r] > F.col(f"limit_{r}"), F.lit(r)) for r in RULES)))
-    out = measured.join(limits, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("rejected_by", failed)
+    measured = stage(measures(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col).drop("row"), "quality-measures")
+    out = _verdicts(measured, _limits(cutoffs(measured, labels, risk=risk, error=error)))
     return out.select(F.col("id").alias(id_col), "stratum", "n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines",
-                      "n_repeat_words", "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))
+                      "n_repeat_words", "base_failed", "rejected_by", "kept")
+
+
+def passing(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
+            risk: float = 0.02, error: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` would keep, with all their columns. Texts are
+    measured where they are read and never shuffled; labelled ones are measured a second time."""
+    options = {"id_col": id_col, "text_col": text_col, "stratum_col": stratum_col}
+    known = stage(labels.select("id").distinct(), "quality-labelled")
+    taught = docs.join(known, F.col(id_col) == known["id"], "left_semi")
+    limits = _limits(cutoffs(stage(measures(taught, **options).drop("row"), "quality-measures"), labels, risk=risk, error=error))
+    judged = _verdicts(measures(docs, **options, carry=F.struct(*(F.col(f"`{c}`") for c in docs.columns))), limits)
+    # a plain filter would be pushed below the measures and repeat them; this one cannot be
+    marked = F.struct(F.lit(True).alias("kept"), F.col("row"))
+    rows = judged.select(F.inline_outer(F.when(F.col("kept"), F.array(marked)))).where("kept")
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -7,6 +7,7 @@ from ..operators.tables import stage
 from . import chat
 from .decontaminate import leaks
 from .lm import score_texts
+from .mixing import mixing_rates
 from .ngram_join import jaccard_components
 from .pii import find_personal_data
 from .quality import RULES, judge
@@ -93,6 +94,20 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(read(spark, folder, "documents"))
 
 
+#: shares of the expected tokens
+MIX = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
+
+
+def domain_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of the labelled documents, as a table of (key, text, domain)."""
+    marked = read(spark, folder, "labels").select("doc_id").distinct()
+    return read(spark, folder, "documents").join(marked, "doc_id").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("domain"))
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing_rates(read(spark, folder, "documents"), domain_labels(spark, folder), MIX)
+
+
 def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal_data(read(spark, folder, "documents"))
 
@@ -150,6 +165,7 @@ CHECKS = {
     "op4_decontaminate": (op4_decontaminate, None),
     "op5_token_files": (op5_token_files, None),
     "op6_ngram_join": (op6_ngram_join, None),
+    "op7_mixing": (op7_mixing, None),
     "op8_personal_data": (op8_personal_data, None),
     "op9_chat_format": (op9_chat_format, OP9_SQL),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
