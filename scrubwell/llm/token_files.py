@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,17 @@ class Pieces:
     across these places, so encoding the pieces gives the ids of the whole text. Texts with other
     white space, or with the cut mark or a special token in them, are encoded as they are."""
 
+    KEPT = 500_000  # pieces whose ids are remembered from shard to shard
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.tails = {c: int(self._ids([c])[0][0]) for c in ".,"}
+        self._forget()
+
+    def _forget(self):
+        self.known, self.flat, self.lengths = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids and offsets of the distinct pieces; piece numbers and offsets of the texts."""
@@ -51,7 +59,7 @@ class Pieces:
         marked = pc.replace_substring(pc.replace_substring(whole, " ", "\0 "), "\n", "\0\n\0")
         split = pc.split_pattern(marked, "\0")
         pieces = split.flatten().dictionary_encode()
-        words, numbers = pieces.dictionary.to_pylist(), pieces.indices.to_numpy().astype(np.int64)
+        words, numbers = pieces.dictionary, pieces.indices.to_numpy().astype(np.int64)
         offsets = split.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
         if odd.any():
@@ -59,35 +67,43 @@ class Pieces:
             numbers = np.insert(numbers, offsets[rows + 1] - 1, np.arange(len(words), len(words) + len(rows)))
             # the empty text of a whole piece has left one empty piece; both stay
             offsets = offsets + np.concatenate(([0], np.cumsum(odd)))
-            words += texts.filter(pa.array(odd)).to_pylist()
+            words = pa.concat_arrays([words, texts.filter(pa.array(odd))])
         ids, at = self.distinct(words)
         return ids, at, numbers, offsets
 
-    def distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # a last full stop or comma after a letter is always a token of its own
-        tails = [w[-1] if len(w) > 2 and w[-1] in ".," and w[-2].isalpha() else "" for w in words]
-        cores, where = {}, np.empty(len(words), np.int64)
-        for i, (w, tail) in enumerate(zip(words, tails)):
-            core = w[:-1] if tail else w
-            where[i] = cores.setdefault(core, len(cores))
-        encoded = self._ids(list(cores))
-        tail_ids = {c: self._ids([c])[0] for c in ".,"}
-        lengths = np.array([len(e) for e in encoded], np.int64)
-        flat = np.fromiter((t for e in encoded for t in e), np.int64, int(lengths.sum()))
-        start = np.cumsum(lengths) - lengths
-        extra = np.array([len(t) > 0 for t in tails])
-        n = lengths[where] + extra
-        at = np.concatenate(([0], np.cumsum(n)))
+        tailed = pc.match_substring_regex(words, r"\p{L}[.,]$")
+        cores = pc.if_else(tailed, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        if len(self.known) > self.KEPT:
+            self._forget()
+        texts = cores.dictionary.to_pylist()
+        new = [t for t in texts if t not in self.known]
+        flat, lengths = self._ids(new)
+        self.known.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
+        self.flat, self.lengths = np.concatenate((self.flat, flat)), np.concatenate((self.lengths, lengths))
+        start = np.cumsum(self.lengths) - self.lengths
+        place = np.fromiter(map(self.known.__getitem__, texts), np.int64, len(texts))
+        where = place[cores.indices.to_numpy()]
+        extra = tailed.to_numpy(zero_copy_only=False)
+        n = self.lengths[where]
+        at = np.concatenate(([0], np.cumsum(n + extra)))
         out = np.zeros(int(at[-1]), np.int64)
-        to = np.arange(int(lengths[where].sum()))
-        run = np.cumsum(lengths[where]) - lengths[where]
-        shift = np.repeat(start[where] - run, lengths[where])
-        out[to + np.repeat(at[:-1] - run, lengths[where])] = flat[to + shift]
-        out[at[1:][extra] - 1] = [tail_ids[t][0] for t in tails if t]
+        to, run = np.arange(int(n.sum())), np.cumsum(n) - n
+        out[to + np.repeat(at[:-1] - run, n)] = self.flat[to + np.repeat(start[where] - run, n)]
+        stop = pc.ends_with(words, ".").to_numpy(zero_copy_only=False)[extra]
+        out[at[1:][extra] - 1] = np.where(stop, self.tails["."], self.tails[","])
         return out, at
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the number of ids of each text. The tokenizer's own objects are large, so
+        only a few are held at a time."""
+        flat, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(texts), at_once):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i:i + at_once], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(lengths[-1].sum())))
+        return np.concatenate(flat), np.concatenate(lengths)
 
 
 def _replace(seq: np.ndarray, joined: np.ndarray, weight, rules: list, next_symbol: int, least: int, most: int):
@@ -270,7 +286,7 @@ def _write(path: str, shard_bytes: int):
 
 
 def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 part_bytes: int = 48 << 20, shard_bytes: int = 16 << 20) -> None:
+                 part_bytes: int = 48 << 20, shard_bytes: int = 12 << 20) -> None:
     """Encode every text (null: empty), add the end id, and write shards in ascending id order.
 
     Rows with one id stand together, ordered by text; a null id comes first. The tokenizer file
