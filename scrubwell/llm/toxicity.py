@@ -149,23 +149,24 @@ def _scores(net: Network):
     return run
 
 
-def fit(texts: DataFrame, *, rows: int = 4000, slots: int = 6_000_000, **options) -> Network:
-    """A network from (text, label, key) rows. Of each label at most ``rows`` / 2 rows are used,
-    the first by hash of key and text, and of these as many whole texts as hold ``slots`` words;
-    the share of label 1 is counted over all rows."""
-    labelled = texts.where("label IS NOT NULL").select("text", F.col("label").cast("int").alias("label"), F.xxhash64("key", "text").alias("draw"))
-    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
+def fit(docs: DataFrame, marks: DataFrame, *, rows: int = 4000, slots: int = 6_000_000, **options) -> Network:
+    """A network from ``docs`` (id, text) and ``marks`` (id, label; one row an id). Of each label at
+    most ``rows`` / 2 ids are drawn, the first by hash, and of their texts as many, whole, as hold
+    about ``slots`` words; the share of label 1 is counted over all marked ids. Only the drawn
+    ids, a table of fixed size, meet the texts."""
+    known = stage(docs.select("id").distinct().join(marks.where("label IS NOT NULL"), "id"), "toxicity-known")
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     drawn = None
     for label in (0, 1):
-        some = labelled.where(F.col("label") == label).orderBy("draw", "text").limit(rows // 2)
+        some = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(rows // 2)
         drawn = some if drawn is None else drawn.union(some)
-    size = F.sum(F.length("text") / 2 + 3).over(Window.orderBy("draw", "text"))  # of the drawn rows only
-    held = drawn.withColumn("size", size).where(F.col("size") <= slots * 3).select("text", "label")
+    texts = stage(docs.join(stage(drawn, "toxicity-drawn"), "id").select("id", "text", "label"), "toxicity-texts")
+    size = F.sum(F.length("text") / 6 + 3).over(Window.orderBy(F.xxhash64("id"), "id", "text"))  # of the drawn rows only
+    held = texts.withColumn("size", size).where(F.col("size") <= slots).select("text", "label")
     data = held.mapInArrow(_encode, "slots binary, label int").collect()
     ids = [np.frombuffer(r.slots, np.int32).reshape(-1, len(STEMS)) for r in data]
     labels = np.array([r.label for r in data], np.float32)
-    prior = (counts.get(1, 0) + 0.5) / (total + 1.0)
+    prior = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
     return train(ids, labels, prior, **options)
 
 
@@ -184,8 +185,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.coalesce(F.col(language_col).cast("string"), F.lit("")).alias("language"), flag.alias("held"))
     marks = labels.groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
-    taught = docs.where(~F.col("held")).join(marks, "id")
-    net = fit(taught.select("text", "label", F.col("id").alias("key")), rows=rows)
+    net = fit(docs.where(~F.col("held")).select("id", "text"), marks, rows=rows)
     kinds = dict(docs.dtypes)
     packed = docs.select(F.struct("id", "language", "held").alias("row"), "text")
     scored = stage(packed.mapInArrow(_scores(net), f"row struct<id:{kinds['id']},language:string,held:boolean>, score double")
