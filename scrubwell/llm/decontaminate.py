@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.tables import stage
+from .memory import per_batch
 from .words import mix, words
 
 BITS, BLOCKS = 64, 8
@@ -180,6 +181,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         for width in sorted({r["size"] for r in rows}):
             weight = {r.gram & (1 << 64) - 1: 1 + float(np.log(total.n / r.df)) for r in common if r.size == width}
             groups.append(Items([r for r in rows if r["size"] == width], weight, other, similarity, radius))
-        step = docs.mapInArrow(_search(groups), "id long, item_id long, similarity double, first_word long, n_words long")
+        step = docs.mapInArrow(per_batch(_search(groups)), "id long, item_id long, similarity double, first_word long, n_words long")
         found = step if found is None else found.union(step)
     return found.withColumnRenamed("id", id_col)

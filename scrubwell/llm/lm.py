@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.tables import stage
+from .memory import per_batch, per_group
 from .words import mix, words
 
 _END, _BEGIN = 0x0123456789ABCDEF, 0x0FEDCBA987654321
@@ -173,6 +174,10 @@ def _answer(table: pa.Table) -> pa.Table:
                      "total": pa.array([0.0] * n + [float(total.sum())], pa.float64())})
 
 
+def _answer_group(table: pa.Table) -> pa.Table:
+    return per_group(_answer)(table)
+
+
 class Automaton:
     """States: 0 has no history, 1 + w has seen word w, the last one is the begin of a text."""
 
@@ -231,6 +236,15 @@ def _score(total: float, types: int, growth: float):
     return run
 
 
+def _score_group(total: float, types: int, growth: float):
+    """The cogroup function; its two arguments must be visible as such."""
+    score = per_group(_score(total, types, growth))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return score(left, right)
+    return run
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out=None,
                 block_bytes: int = 10 << 20, bucket_tokens: int = 2_000_000) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
@@ -244,20 +258,20 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     flag = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), flag.alias("held"))
-    blocks = stage(docs.mapInArrow(_encode(block_bytes), _BLOCK), "lm-blocks")
+    blocks = stage(docs.mapInArrow(per_batch(_encode(block_bytes)), _BLOCK), "lm-blocks")
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
     level = (blocks.select(F.posexplode(F.arrays_zip("counts", "pairs"))).groupBy("pos")
              .agg(F.sum("col.counts").alias("c"), F.sum("col.pairs").alias("k")).where("c > 0").collect())
     histories = {r.pos: (r.c, r.k) for r in level}
     growth = _growth(histories)
     buckets = max(1, int(tokens // bucket_tokens))
-    answers = stage(blocks.select("block", "payload", "vocabulary", "lengths", "held").mapInArrow(_requests(buckets), _REQUEST)
-                    .groupBy("bucket").applyInArrow(_answer, _ANSWER), "lm-counts")
+    answers = stage(blocks.select("block", "payload", "vocabulary", "lengths", "held").mapInArrow(per_batch(_requests(buckets)), _REQUEST)
+                    .groupBy("bucket").applyInArrow(_answer_group, _ANSWER), "lm-counts")
     sums = answers.where("block = ''").agg(F.sum("total").alias("n"), F.sum("types").alias("v")).first()
     total, types = sums.n or 0.0, sums.v or 0
     scored = (blocks.select("block", "payload", "vocabulary", "ids", "lengths", "held").groupBy("block")
               .cogroup(answers.where("block <> ''").select("block", "bucket", "word_totals", "pair_totals").groupBy("block"))
-              .applyInArrow(_score(total, types, growth),
+              .applyInArrow(_score_group(total, types, growth),
                             "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
                          F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

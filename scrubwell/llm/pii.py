@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .memory import per_batch
 from .words import Words, words
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -334,5 +335,5 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     finder = Finder(field or train())
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(finder.run, f"row struct<id:{kind}>, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    return rows.mapInArrow(per_batch(finder.run), f"row struct<id:{kind}>, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
                            ).select(F.col("row.id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.tables import shared_folder
+from .memory import per_batch
 from .words import raw
 
 MAGIC, STEP = b"RPAIR1\0\0", 1024  # STEP: symbols between running lengths
@@ -322,7 +323,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
     (docs.repartitionByRange(int(parts), "id").sortWithinPartitions("id", "text")
-     .mapInArrow(_write(tokenizer or default_tokenizer(), shard_bytes), SHARD)
+     .mapInArrow(per_batch(_write(tokenizer or default_tokenizer(), shard_bytes)), SHARD)
      .write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(folder))
 
 
@@ -348,7 +349,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     base = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     docs = shards.select("part", "shard", "payload").mapInArrow(
-        _read, "part int, shard long, doc_id long, offset long, n_tokens long, ids_crc32 long")
+        per_batch(_read), "part int, shard long, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return docs.join(base, ["part", "shard"]).select(
         "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.tables import stage
+from .memory import per_batch
 from .words import words
 
 STEMS = (None, 4, 5, 6)   # a word's hashed parts: the whole, then its first bytes
@@ -188,7 +189,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     net = fit(docs.where(~F.col("held")).select("id", "text"), marks, rows=rows)
     kinds = dict(docs.dtypes)
     packed = docs.select(F.struct("id", "language", "held").alias("row"), "text")
-    scored = stage(packed.mapInArrow(_scores(net), f"row struct<id:{kinds['id']},language:string,held:boolean>, score double")
+    scored = stage(packed.mapInArrow(per_batch(_scores(net)), f"row struct<id:{kinds['id']},language:string,held:boolean>, score double")
                    .select("row.*", "score"), "toxicity-scores")
     limits = thresholds(scored.where(~F.col("held")).join(marks, "id"), floor)
     out = scored.join(limits, "language", "left").withColumn("threshold", F.coalesce("threshold", F.lit(floor)))
