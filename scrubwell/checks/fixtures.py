@@ -110,7 +110,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", spread=True)
+    return read_table(spark, f"{folder}/{name}.parquet")
 
 
 def from_sql(spark: SparkSession, folder: str, sql: str) -> DataFrame:

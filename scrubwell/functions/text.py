@@ -113,8 +113,9 @@ def changed_null_safe(old: Column, new: Column) -> Column:
 
 
 def digest_long(c: Column, limit: int = 64) -> Column:
-    """The value itself, or its SHA-256 when longer than ``limit`` characters.
+    """The value itself, or its SHA-256 when longer than ``limit`` characters. Each form bears a
+    tag, so a short value never equals the digest of a long one.
 
     Used where only equality matters (counting distinct values or repeated rows), so that
     long texts do not travel through the shuffle."""
-    return F.when(F.length(c) > limit, F.sha2(c, 256)).otherwise(c)
+    return F.when(F.length(c) > limit, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(F.concat(F.lit("="), c))

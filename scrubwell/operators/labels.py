@@ -15,7 +15,6 @@ from .tables import col, histogram, literal_table, long_form
 
 SKETCH_GATE = 4 * vocab.HINTED_LABEL_LIMIT  # far above the sketch's error at the true limit
 _RAW_GATE = 20_000       # raw spellings counted exactly without a second sketch
-_CASE_LIMIT = 32         # changed labels per column applied as a literal map
 
 
 # --- keys ---------------------------------------------------------------------------------
@@ -205,19 +204,13 @@ def as_mapping(dictionary: DataFrame) -> dict[str, dict[str, str]]:
 
 # --- application --------------------------------------------------------------------------
 def apply_mapping(df: DataFrame, mapping: dict[str, dict[str, str]]) -> DataFrame:
-    """Replace labels by their canonical form. A few changes become a literal map, more become
-    a broadcast join on the (bounded) dictionary; neither moves the table."""
-    for c, table in mapping.items():
-        if len(table) > _CASE_LIMIT:
-            small = literal_table(df.sparkSession, {"_raw": "string", "_canonical": "string"}, sorted(table.items()))
-            order = df.columns
-            df = df.join(F.broadcast(small), col(c) == F.col("_raw"), "left").select(*[
-                (F.coalesce("_canonical", col(x)) if x == c else col(x)).alias(x) for x in order])
-    short = {c: t for c, t in mapping.items() if 0 < len(t) <= _CASE_LIMIT}
-    if not short:
+    """Replace labels by their canonical form. The dictionary is bounded, so it is one literal
+    map a column; the table is not moved."""
+    tables = {c: t for c, t in mapping.items() if t}
+    if not tables:
         return df
     return df.select(*[
-        F.coalesce(text.lookup(col(c), dict(sorted(short[c].items()))), col(c)).alias(c) if c in short else col(c)
+        F.coalesce(text.lookup(col(c), dict(sorted(tables[c].items()))), col(c)).alias(c) if c in tables else col(c)
         for c in df.columns])
 
 
@@ -262,10 +255,10 @@ def alias_groups(df: DataFrame) -> DataFrame:
     keyed = cells.where(F.col("value").isNotNull()).select(
         "column", F.regexp_replace(F.lower("value"), "[^a-z0-9]+", "").alias("norm"),
         F.xxhash64("value").alias("a"), F.xxhash64(F.lit("raw"), "value").alias("b"))
-    keyed = keyed.withColumn("norm", text.digest_long(F.col("norm")))
-    groups = keyed.groupBy("column", "norm").agg(
+    keyed = keyed.withColumn("empty", F.col("norm") == "").withColumn("norm", text.digest_long(F.col("norm")))
+    groups = keyed.groupBy("column", "norm", "empty").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col("a")).alias("a"), F.min(F.col("a")).alias("a_low"),
         F.max(F.col("b")).alias("b"), F.min(F.col("b")).alias("b_low"))
-    mixed = (F.col("norm") != "") & ((F.col("a") != F.col("a_low")) | (F.col("b") != F.col("b_low")))
+    mixed = ~F.col("empty") & ((F.col("a") != F.col("a_low")) | (F.col("b") != F.col("b_low")))
     return (groups.groupBy("column").agg(F.count_if(mixed).alias("groups"), F.sum("n").alias("filled"))
             .where((F.col("filled") >= 10) & (F.col("groups") > 0)).select("column", "groups"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text
 from .infer import NUMERIC_KINDS
 from .quantiles import exact_quantiles
-from .tables import by_type, col, histogram, literal_table, nan_to_null, row_to_rows
+from .tables import by_type, col, from_groupable, groupable, histogram, literal_table, nan_to_null, row_to_rows
 
 STRATEGIES = ("leave", "median_mode", "constant", "drop_rows")
 PROTECTED_KINDS = ("id", "email", "phone", "date", "other")
@@ -40,16 +40,19 @@ def drop_blank_columns(df: DataFrame) -> DataFrame:
 
 
 def dedupe(df: DataFrame) -> DataFrame:
-    """Exact duplicates only, never by identifier. NULLs compare equal. Copies on the same
-    executor collapse before the shuffle, so a hot row costs no skew."""
-    return nan_to_null(df).dropDuplicates()
+    """Exact duplicates only, never by identifier. NULLs compare equal, and so do maps with the
+    same entries. Copies on the same executor collapse before the shuffle, so a hot row costs no
+    skew."""
+    df = nan_to_null(df)
+    return from_groupable(groupable(df).dropDuplicates(), df)
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Every repeated row once, with its number of copies."""
     df = nan_to_null(df)
-    return df.groupBy(*[col(c) for c in df.columns]).agg(
-        F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    rows = groupable(df)
+    counted = rows.groupBy(*[col(c) for c in rows.columns]).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+    return from_groupable(counted, df, "copies")
 
 
 def drop_missing_rows(df: DataFrame) -> DataFrame:

@@ -20,10 +20,30 @@ def iqr_bounds(df: DataFrame, columns: list[str], min_count: int, min_distinct:
     for c, q in exact_quantiles(df, columns, [0.25, 0.75]).items():
         q1, q3 = q["values"]
         iqr = q3 - q1
-        if q["count"] >= min_count and q["distinct"] >= min_distinct and math.isfinite(iqr) and iqr > 0:
+        if q["count"] >= min_count and math.isfinite(iqr) and iqr > 0:
             bounds[c] = {"q1": q1, "q3": q3, "iqr": iqr,
                          "lower": q1 - _FENCE * iqr, "upper": q3 + _FENCE * iqr}
-    return bounds
+    few = _fewer_values(df, list(bounds), min_distinct)
+    return {c: b for c, b in bounds.items() if c not in few}
+
+
+def _fewer_values(df: DataFrame, columns: list[str], least: int) -> set[str]:
+    """Columns with fewer than ``least`` different values. Each round finds the next larger value
+    of all columns by a minimum, so a few aggregates decide, whatever the number of values."""
+    floor: dict[str, float | None] = {c: None for c in columns}
+    few: set[str] = set()
+    for _ in range(least if columns else 0):
+        open_columns = [c for c in columns if c not in few]
+        if not open_columns:
+            break
+        value = {c: col(c).cast("double") for c in open_columns}
+        row = df.agg(*[F.min(value[c] if floor[c] is None else F.when(value[c] > floor[c], value[c])).alias(f"_{i}")
+                       for i, c in enumerate(open_columns)]).first()
+        for i, c in enumerate(open_columns):
+            floor[c] = row[i]
+            if row[i] is None:
+                few.add(c)
+    return few
 
 
 def is_outside(c: str, bound: dict) -> Column:

@@ -52,6 +52,9 @@ def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
             F.coalesce(F.sum(F.when(value.isNotNull(), weight)), F.lit(0)).alias("non_null"),
             distinct.alias("distinct"),
             *[s.alias(n) for s, n in zip(spread, ("min", "max", "mean"))]))
+    if not per_type:  # a table without columns
+        per_type = [literal_table(spark, {"column": "string", "rows": "long", "non_null": "long", "distinct": "long",
+                                          "min": "double", "max": "double", "mean": "double"}, [])]
     stats = reduce(DataFrame.unionByName, per_type)
     schema = literal_table(spark, {"position": "long", "column": "string", "dtype": "string"},
                            [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)])
@@ -83,7 +86,7 @@ def profile_snapshot(df: DataFrame, samples: bool = False) -> DataFrame:
     if not samples:
         return out
     plain = [c for c in df.columns if c not in set(names.numeric_columns(df))]
-    cells = df.select(*[F.substring(col(c).cast("string"), 1, 80).alias(c) for c in plain])
+    cells = df.select(*[col(c).cast("string").alias(c) for c in plain])
     smallest = _three_smallest(cells)
     return out.join(F.broadcast(smallest), "column", "left")
 
@@ -93,13 +96,13 @@ def _three_smallest(cells: DataFrame) -> DataFrame:
     aggs = {c: F.min(col(c)) for c in cells.columns}
     found: dict[str, list[str]] = {c: [] for c in cells.columns}
     for _ in range(3):
-        row = cells.agg(*[a.alias(c) for c, a in aggs.items()]).first()
+        row = cells.agg(*[a.alias(c) for c, a in aggs.items()]).first() if aggs else {}
         for c in cells.columns:
             if row[c] is not None:
                 found[c].append(row[c])
                 aggs[c] = F.min(F.when(col(c) > row[c], col(c)))
     return literal_table(cells.sparkSession, {"column": "string", "sample_values": "string"},
-                         [(c, ", ".join(v)) for c, v in found.items()])
+                         [(c, ", ".join(x[:80] for x in v)) for c, v in found.items()])  # cut for display only
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Exact quantiles without gathering a column in one place.
+"""Exact quantiles without gathering or sorting a column.
 
-Columns with few distinct values go through a (column, value) count and a running total. For the
-others a sketch brackets each wanted rank, one aggregate counts the rows below, on and inside the
-bracket, and the bracket shrinks until its inside fits in one small array. Sketches and counts are
-partial aggregates, so no data row is shuffled, and a value that fills a third of the table costs
-nothing extra: it ends up on a bracket edge and is counted, not collected.
+A sketch brackets each wanted rank, one aggregate counts the rows below, on and inside every
+bracket, and the bracket shrinks until its inside is small; the insides of all brackets are then
+counted by value and searched, one group for each bracket. There is one way for every size and
+any number of columns. Sketches and counts are partial aggregates, so a value that fills a third
+of the table costs nothing extra: it ends up on a bracket edge and is counted, not collected.
 """
 from __future__ import annotations
 
@@ -14,55 +14,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .tables import col, histogram, long_form
+from .tables import col
 
-HISTOGRAM_LIMIT = 1_000_000  # distinct values per column handled by counting
-INSIDE_LIMIT = 50_000        # rows inside a bracket handled by one sorted array
+INSIDE_LIMIT = 20_000        # rows inside a bracket that may be searched at once
 SKETCH_ACCURACY = 10_000     # rank error of a sketch: rows / accuracy
+_BATCH = 200                 # brackets handled by one aggregate
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, dict]:
-    """``{column: {"count", "distinct", "values"}}`` with linear interpolation. ``distinct`` is
-    exact below the histogram limit and an estimate above. Columns without values are left out."""
+    """``{column: {"count", "values"}}`` with linear interpolation; columns without values are
+    left out."""
     if not columns:
         return {}
     numbers = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
-    sizes = numbers.agg(*[a for c in numbers.columns for a in (
-        F.count(c).alias(f"n{c}"), F.approx_count_distinct(c).alias(f"d{c}"))]).first()
-    wanted = {c: (sizes[f"n{c}"], sorted({k for p in probabilities for k in _neighbours(p, sizes[f"n{c}"])}))
-              for c in numbers.columns if sizes[f"n{c}"]}
-    few = {c: w for c, w in wanted.items() if sizes[f"d{c}"] <= HISTOGRAM_LIMIT}
-    many = {c: w for c, w in wanted.items() if c not in few}
-    order, distinct = _counted_statistics(numbers, few)
-    order.update(_order_statistics(numbers, many))
+    sizes = numbers.agg(*[F.count(c).alias(c) for c in numbers.columns]).first()
+    wanted = {c: (sizes[c], sorted({k for p in probabilities for k in _neighbours(p, sizes[c])}))
+              for c in numbers.columns if sizes[c]}
+    order = _order_statistics(numbers, wanted)
     return {columns[int(c[1:])]: {
-        "count": n, "distinct": distinct.get(c, sizes[f"d{c}"]),
-        "values": [_interpolate(p, n, order[c]) for p in probabilities]} for c, (n, _) in wanted.items()}
-
-
-def _counted_statistics(df: DataFrame, wanted: dict[str, tuple[int, list[int]]]):
-    """The values at given ranks from a running total over the distinct values of each column,
-    whose number is bounded by the histogram limit."""
-    if not wanted:
-        return {}, {}
-    counted = histogram(long_form(df.select(*wanted)).where(F.col("value").isNotNull()))
-    by_value = W.partitionBy("column").orderBy("value")
-    running = counted.withColumn("upto", F.sum("n").over(by_value)).withColumn("place", F.row_number().over(by_value))
-    hit = F.col("place") < 1
-    for c, (n, ranks) in wanted.items():
-        here = F.col("upto") == n  # the last row tells the number of distinct values
-        for k in ranks:
-            here = here | ((F.col("upto") - F.col("n") <= k) & (F.col("upto") > k))
-        hit = hit | ((F.col("column") == c) & here)
-    order: dict[str, dict[int, float]] = {c: {} for c in wanted}
-    distinct: dict[str, int] = {}
-    for r in running.where(hit).collect():
-        c = r["column"]
-        distinct[c] = max(distinct.get(c, 0), r["place"])
-        for k in wanted[c][1]:
-            if r["upto"] - r["n"] <= k < r["upto"]:
-                order[c][k] = r["value"]
-    return order, distinct
+        "count": n, "values": [_interpolate(p, n, order[c]) for p in probabilities]} for c, (n, _) in wanted.items()}
 
 
 def _neighbours(p: float, n: int) -> tuple[int, int]:
@@ -85,12 +55,21 @@ def _order_statistics(df: DataFrame, wanted: dict[str, tuple[int, list[int]]]) -
     # open bracket (low, high) per (column, rank): rows inside it and the rank within it
     state = {(c, k): (None, None, n, k) for c, (n, ks) in wanted.items() for k in ks}
     while state:
-        state = _collect_small(df, state, answer)
-        if state:
-            state = _narrow(df, state, answer)
+        small = {t: s for t, s in state.items() if s[2] <= INSIDE_LIMIT}
+        _search(df, small, answer)
+        state = {t: s for t, s in state.items() if t not in small}
+        later = {}
+        for some in _batches(state):
+            later.update(_narrow(df, some, answer))
+        state = later
     return answer
 
 
+def _batches(state: dict) -> list[dict]:
+    items = list(state.items())
+    return [dict(items[i:i + _BATCH]) for i in range(0, len(items), _BATCH)]
+
+
 def _inside(c: str, low, high):
     x = F.col(c)
     if low is not None:
@@ -100,15 +79,21 @@ def _inside(c: str, low, high):
     return x
 
 
-def _collect_small(df, state, answer):
-    small = {t: s for t, s in state.items() if s[2] <= INSIDE_LIMIT}
-    if small:
-        row = df.agg(*[
-            F.sort_array(F.collect_list(_inside(t[0], low, high)))[k].alias(f"v{i}")
-            for i, (t, (low, high, _, k)) in enumerate(small.items())]).first()
-        for i, (c, k) in enumerate(small):
-            answer[c][k] = row[f"v{i}"]
-    return {t: s for t, s in state.items() if t not in small}
+def _search(df: DataFrame, small: dict, answer: dict) -> None:
+    """The wanted value of brackets with few rows inside. Their rows become (bracket, value) rows,
+    are counted map-side, and each bracket's running total is a window of its own."""
+    for some in _batches(small):
+        brackets = list(some.items())
+        # columns with one bracket in common (both neighbours of a rank) are read once
+        entries = [(F.lit(i), _inside(c, low, high)) for i, ((c, _), (low, high, _, _)) in enumerate(brackets)]
+        cells = df.select(F.stack(F.lit(len(entries)), *[x for e in entries for x in e]).alias("bracket", "value"))
+        counted = cells.where(F.col("value").isNotNull()).groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(W.partitionBy("bracket").orderBy("value"))
+        rank = F.element_at(F.array(*[F.lit(k) for _, (_, _, _, k) in brackets]), F.col("bracket") + 1)
+        hit = counted.withColumn("upto", upto).where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
+        for r in hit.select("bracket", "value").collect():
+            (c, k), _ = brackets[r["bracket"]]
+            answer[c][k] = r["value"]
 
 
 def _narrow(df, state, answer):

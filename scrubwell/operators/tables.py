@@ -67,6 +67,53 @@ def long_form(df: DataFrame) -> DataFrame:
     return df.unpivot([], [col(c) for c in df.columns], "column", "value")
 
 
+def _has_map(t: T.DataType) -> bool:
+    if isinstance(t, T.MapType):
+        return True
+    if isinstance(t, T.ArrayType):
+        return _has_map(t.elementType)
+    return isinstance(t, T.StructType) and any(_has_map(f.dataType) for f in t.fields)
+
+
+def _entries(c: Column, t: T.DataType) -> Column:
+    """A value in which every map is the array of its entries, in a canonical order."""
+    if not _has_map(t):
+        return c
+    if isinstance(t, T.MapType):
+        pairs = F.transform(F.map_entries(c), lambda e: F.struct(
+            _entries(e["key"], t.keyType).alias("key"), _entries(e["value"], t.valueType).alias("value")))
+        return F.array_sort(pairs)
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _entries(x, t.elementType))
+    return F.when(c.isNotNull(), F.struct(*[_entries(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields]))
+
+
+def _maps(c: Column, t: T.DataType) -> Column:
+    """The way back from ``_entries``."""
+    if not _has_map(t):
+        return c
+    if isinstance(t, T.MapType):
+        return F.map_from_entries(F.transform(c, lambda e: F.struct(
+            _maps(e["key"], t.keyType).alias("key"), _maps(e["value"], t.valueType).alias("value"))))
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _maps(x, t.elementType))
+    return F.when(c.isNotNull(), F.struct(*[_maps(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields]))
+
+
+def groupable(df: DataFrame) -> DataFrame:
+    """The table with maps, which Spark cannot group, as arrays of entries."""
+    if not any(_has_map(f.dataType) for f in df.schema):
+        return df
+    return df.select(*[_entries(col(f.name), f.dataType).alias(f.name) for f in df.schema])
+
+
+def from_groupable(rows: DataFrame, like: DataFrame, *extra: str) -> DataFrame:
+    """Rows of a groupable table with the types of ``like`` again, and extra columns."""
+    if not any(_has_map(f.dataType) for f in like.schema):
+        return rows
+    return rows.select(*[_maps(col(f.name), f.dataType).alias(f.name) for f in like.schema], *map(col, extra))
+
+
 def histogram(cells: DataFrame) -> DataFrame:
     """(column, value, n). Partial aggregation collapses hot values before the shuffle."""
     return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))

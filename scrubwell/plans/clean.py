@@ -36,8 +36,16 @@ STRATEGY_ALIASES = {  # fixed values: the long names of the strategies
 
 
 def _as_text(c: Column, dtype: T.DataType) -> Column:
-    """Text of a contact or identifier cell; large doubles without an exponent."""
-    return c.cast("decimal(38,1)").cast("string") if isinstance(dtype, T.FractionalType) else c.cast("string")
+    """Text of a contact or identifier cell, with every digit it has. A double that would be
+    written with an exponent is written out where a decimal holds it exactly (with at least one
+    decimal place, as other doubles have), else its own text stays."""
+    plain = c.cast("string")
+    if not isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return plain
+    exact = [F.when(d.cast("double") == c.cast("double"), d.cast("string"))
+             for d in (plain.try_cast(f"decimal({kind})") for kind in ("38,10", "38,1", "38,30"))]
+    full = F.regexp_replace(F.coalesce(*exact), r"(\.[0-9]+?)0+$", "$1")
+    return F.when(plain.contains("E"), F.coalesce(full, plain)).otherwise(plain)
 
 
 def _spelled(name: str, cell: Column) -> Column:

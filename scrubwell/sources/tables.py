@@ -3,27 +3,47 @@ as they are."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.tables import col
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All-text CSV with ``""`` quoting; empty fields stay empty strings. Quoted line breaks need
-    ``multi_line``, which reads each file in one piece; set it to False for files without them
-    to have large files split."""
-    text = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line,
-                          mode="PERMISSIVE", encoding="UTF-8")
-    return text.na.fill("")
 
+MALFORMED = "_malformed"
 
-def read_table(spark: SparkSession, path: str, format: str = "parquet", spread: bool = False, **options) -> DataFrame:
-    """Typed source (parquet, orc, json, avro …) or, with ``format="table"``, a catalog table.
 
-    ``spread`` deals the rows out over all cores when the source comes in far fewer splits than
-    there are cores (one small file, say). A source with enough splits is never shuffled."""
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False, malformed: str = "fail") -> DataFrame:
+    """All-text CSV with ``""`` quoting; empty fields stay empty strings, and rows with too few
+    cells are filled up with them.
+
+    Files are split into ranges of lines, so a line break inside quotes needs ``multi_line=True``,
+    which reads each file in one piece. All files must have the header of the first, in its order;
+    another one stops the read (only headers with repeated or empty names are not compared). A
+    row with more cells than the header stops the read too, unless ``malformed="keep"``: then the
+    rows come with the column ``_malformed``, the whole line of such a row, else NULL.
+    """
+    if malformed not in ("fail", "keep"):
+        raise ValueError("malformed is 'fail' or 'keep'")
+    options = {"quote": '"', "escape": '"', "multiLine": multi_line, "encoding": "UTF-8"}
+    names = spark.read.csv(path, header=True, **options).columns
+    first = spark.read.csv(path, header=False, **options).first()
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names]).add(MALFORMED, T.StringType())
+    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=first is None or list(first) != names, mode="PERMISSIVE",
+                          columnNameOfCorruptRecord=MALFORMED, **options)
+    # a record that does not fit has too few cells or too many: count separators outside quotes
+    separators = F.length(F.regexp_replace(F.regexp_replace(F.col(MALFORMED), r'"(?:[^"]|"")*"', ""), "[^,]", ""))
+    # naming every column keeps the parser from skipping cells, which would hide a long row
+    whole = F.octet_length(F.concat_ws("", *[col(n) for n in names])) >= 0
+    line = F.when((separators >= len(names)) & whole, F.col(MALFORMED))
+    if malformed == "fail":
+        # a condition, so that it holds whichever columns are read
+        rows = rows.where(F.when(line.isNotNull(), F.raise_error(F.concat(F.lit("too many cells: "), line))).otherwise(F.lit(True)))
+        return rows.select(*[col(n) for n in names]).na.fill("")
+    return rows.select(*[F.coalesce(col(n), F.lit("")).alias(n) for n in names], line.alias(MALFORMED))
+
+
+def read_table(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
+    """Typed source (parquet, orc, json, avro …) or, with ``format="table"``, a catalog table."""
     if format == "csv":
-        df = read_csv(spark, path, **options)
-    elif format == "table":
-        df = spark.table(path)
-    else:
-        df = spark.read.format(format).options(**options).load(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() * 2 <= cores else df
+        return read_csv(spark, path, **options)
+    return spark.table(path) if format == "table" else spark.read.format(format).options(**options).load(path)

@@ -8,11 +8,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[*]").appName("scrubwell-tests")
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .getOrCreate())

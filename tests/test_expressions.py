@@ -128,8 +128,7 @@ def test_retail_discount(spark):
 
 
 @pytest.mark.parametrize("shape", ["spread", "hot", "two", "ties"])
-def test_exact_quantiles_beyond_the_histogram(spark, shape, monkeypatch):
-    monkeypatch.setattr(quantiles, "HISTOGRAM_LIMIT", 1)
+def test_exact_quantiles_by_brackets(spark, shape, monkeypatch):
     monkeypatch.setattr(quantiles, "INSIDE_LIMIT", 20)
     monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 50)
     rng = np.random.default_rng(7)
@@ -138,3 +137,12 @@ def test_exact_quantiles_beyond_the_histogram(spark, shape, monkeypatch):
     df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
     got = quantiles.exact_quantiles(df, ["v"], [0.25, 0.5, 0.75])["v"]["values"]
     assert np.allclose(got, np.quantile(values, [0.25, 0.5, 0.75]), rtol=0, atol=1e-12)
+
+
+def test_quantiles_of_many_columns(spark):
+    df = spark.range(200).select(*[((F.col("id") * (7 + i)) % 101 + i).cast("double").alias(f"c{i}") for i in range(300)])
+    got = quantiles.exact_quantiles(df, df.columns, [0.25, 0.5])
+    for i in (0, 150, 299):
+        values = sorted((k * (7 + i)) % 101 + i for k in range(200))
+        at = lambda p: values[int(p * 199)] + (p * 199 - int(p * 199)) * (values[int(p * 199) + 1] - values[int(p * 199)])
+        assert got[f"c{i}"] == {"count": 200, "values": [at(0.25), at(0.5)]}

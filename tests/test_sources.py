@@ -1,4 +1,5 @@
 """Readers, writers and the run history."""
+import pytest
 from pyspark.sql import functions as F
 
 from scrubwell import clean
@@ -8,7 +9,7 @@ from scrubwell.sources import history, sinks, tables
 def test_csv_keeps_text(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('zip,note,n\n00123,"say ""hi"", ok",1\n045,,2\n"7","two\nlines",\n', encoding="utf-8")
-    rows = {r["zip"]: (r["note"], r["n"]) for r in tables.read_csv(spark, str(path)).collect()}
+    rows = {r["zip"]: (r["note"], r["n"]) for r in tables.read_csv(spark, str(path), multi_line=True).collect()}
     assert rows == {"00123": ('say "hi", ok', "1"), "045": ("", "2"), "7": ("two\nlines", "")}
 
 
@@ -22,6 +23,25 @@ def test_short_rows_and_typed_formats(spark, tmp_path):
         assert tables.read_table(spark, str(tmp_path / fmt), fmt).count() == 3
 
 
+def test_long_rows_stop_the_read_or_are_kept(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("a,b\n1,2,3\n4,5\n6\n,,\n,\n", encoding="utf-8")
+    with pytest.raises(Exception, match="too many cells"):
+        tables.read_csv(spark, str(path)).select("a").collect()
+    rows = {(r.a, r.b, r[tables.MALFORMED]) for r in tables.read_csv(spark, str(path), malformed="keep").collect()}
+    assert rows == {("1", "2", "1,2,3"), ("4", "5", None), ("6", "", None), ("", "", ",,"), ("", "", None)}
+
+
+def test_files_with_another_header_stop_the_read(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "1.csv").write_text("a,b\n1,2\n", encoding="utf-8")
+    (tmp_path / "x" / "2.csv").write_text("a,b\n3,4\n", encoding="utf-8")
+    assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "x")).collect())) == [("1", "2"), ("3", "4")]
+    (tmp_path / "x" / "3.csv").write_text("b,a\n6,5\n", encoding="utf-8")
+    with pytest.raises(Exception, match="header"):
+        tables.read_csv(spark, str(tmp_path / "x")).collect()
+
+
 def messy(spark):
     return spark.createDataFrame([("1", "9876543210.0", "5"), ("2", "+91 9876543211", "7"), ("2", "+91 9876543211", "7")],
                                  "user_id string, phone string, size string")
