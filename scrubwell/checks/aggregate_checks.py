@@ -393,4 +393,4 @@ _STEPS = q.values([(c, *t) for c, t in vocab.GUIDANCE.items()])
        f"recommendation, recommended_action, workflow, guardrail, n FROM found LEFT JOIN {_TEXTS} t(rule, category, why_it_matters, recommendation) "
        f"ON t.rule = found.rule LEFT JOIN {_STEPS} s(category, recommended_action, workflow, guardrail) ON s.category = t.category")
 def finding_guidance(spark, folder):
-    return findings.report(mf(spark, folder)).findings
+    return findings.report(mf(spark, folder)).findings.drop("seq")

@@ -2,10 +2,10 @@
 from __future__ import annotations
 
 from ..operators.profile import profile
-from . import aggregate_checks, label_checks, rows, run_checks
+from . import aggregate_checks, edge_checks, label_checks, rows, run_checks
 
 CHECKS = {**rows.CHECKS, **label_checks.CHECKS, **aggregate_checks.CHECKS,
-          **run_checks.CHECKS}
+          **run_checks.CHECKS, **edge_checks.CHECKS}
 
 
 def flagship(spark, folder):

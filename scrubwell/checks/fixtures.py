@@ -105,6 +105,15 @@ SELECT l_orderkey, l_linenumber, l_quantity * l_quantity * l_extendedprice AS lo
 FROM {lineitem}
 """
 
+# identifiers of numeric types, to be kept as text with every digit
+MI = """
+SELECT lpad(CAST(c_custkey AS STRING), 6, '0') AS customer_id, CAST(c_custkey AS DOUBLE) + CAST(0.25 AS DOUBLE) AS tax_code,
+  CAST(c_custkey AS DOUBLE) * CAST(10000000 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS sku_code,
+  CAST(CAST(c_custkey % 3 + 1 AS STRING) || 'E39' AS DOUBLE) AS ledger_code,
+  CAST(CAST(c_custkey AS STRING) || '.1250' AS DECIMAL(14, 4)) AS postal_code
+FROM {customer}
+"""
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text, vocab
 from .labels import alias_groups
 from .outliers import outliers
-from .profile import column_stats, duplicate_count, round_half_up
+from .profile import column_stats, duplicate_count, profile_snapshot, quality, round_half_up
 from .tables import col, literal_table, nan_to_null
 
 _COUNT = "%,d"
@@ -128,8 +128,9 @@ def with_guidance(findings: DataFrame) -> DataFrame:
     texts = literal_table(spark, {c: "string" for c in (
         "rule", "category", "why_it_matters", "recommendation")},
         [(rule, *t) for rule, t in vocab.FINDING_TEXTS.items()])
+    place = ["seq"] if "seq" in findings.columns else []
     return guidance(findings.join(F.broadcast(texts), "rule", "left")).select(
-        "severity", "category", "column", "finding", "why_it_matters", "recommendation",
+        *place, "severity", "category", "column", "finding", "why_it_matters", "recommendation",
         "recommended_action", "workflow", "guardrail", "n")
 
 
@@ -148,6 +149,7 @@ class Report:
     findings: DataFrame
     summary: DataFrame
     recommendations: tuple[str, ...]
+    snapshot: DataFrame
 
 
 def findings(df: DataFrame) -> DataFrame:
@@ -166,10 +168,18 @@ def summarize(found: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame) -> Report:
-    """Findings with guidance, counts per severity, and general advice. The findings are a few
-    rows per column; they are computed once and kept as a small literal table."""
-    computed = findings(df)
-    rows = [tuple(r) for r in computed.select(*_FINDING).collect()]
-    found = literal_table(df.sparkSession, _FINDING, rows)
+    """Findings with guidance in order (``seq``; missing values first, most first), one summary row
+    (size, missing cells, duplicate rows, findings per severity), general advice and the profile
+    snapshot. The findings are a few rows per column; they are computed once and kept as a small
+    literal table."""
+    rows = [tuple(r) for r in findings(df).select(*_FINDING).collect()]
+    order = list(_MESSAGES)
+    place = {"missing_contact": 0, "missing_data": 0, **{rule: i for i, rule in enumerate(order)}}
+    rows.sort(key=lambda r: (place[r[0]], -r[3] if place[r[0]] == 0 else 0, df.columns.index(r[2]) if r[2] in df.columns else -1))
+    found = literal_table(df.sparkSession, {"seq": "long", **_FINDING}, [(i, *r) for i, r in enumerate(rows, 1)])
     advice = vocab.REVIEW_ADVICE if rows else (vocab.NO_FINDINGS_ADVICE,)
-    return Report(with_guidance(found), summarize(found), advice)
+    counts = {s.lower(): sum(r[1] == s for r in rows) for s in SEVERITIES}
+    totals = {"issue_count": len(rows), **counts}
+    summary = quality(df).select("rows", "columns", "missing_cells", "duplicate_rows",
+                                 *[F.lit(n).cast("long").alias(c) for c, n in totals.items()])
+    return Report(with_guidance(found), summary, advice, profile_snapshot(df))

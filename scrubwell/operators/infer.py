@@ -145,16 +145,8 @@ def generic_number(c: Column) -> Column:
 
 def numeric_acceptance(df: DataFrame) -> DataFrame:
     """(column, filled, numbers, accepted): which text columns convert to numbers."""
-    from .retail import number_anywhere, discount
-
     columns = [c for c in names.text_columns(df) if c.lower() not in vocab.RETAIL_NEVER_NUMERIC]
-
-    def reader(c):
-        if c == "Discount":
-            return discount(col(c))
-        return number_anywhere(col(c)) if c in vocab.RETAIL_NUMERIC_COLUMNS else generic_number(col(c))
-
-    return _acceptance(df, columns, reader, "numbers",
+    return _acceptance(df, columns, _numeric_reader, "numbers",
                        lambda c: 0.0 if c in vocab.RETAIL_NUMERIC_COLUMNS else NUMERIC_SHARE)
 
 
@@ -164,6 +156,33 @@ def date_acceptance(df: DataFrame) -> DataFrame:
     return _acceptance(df, columns, lambda c: parse.date(col(c)), "dates", lambda c: NAMED_DATE_SHARE)
 
 
+def _numeric_reader(c: str) -> Column:
+    from .retail import discount, number_anywhere
+
+    if c == "Discount":
+        return discount(col(c))
+    return number_anywhere(col(c)) if c in vocab.RETAIL_NUMERIC_COLUMNS else generic_number(col(c))
+
+
+def convert_numbers(df: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The table with every accepted text column as double, and two counters: converted columns,
+    and cells that became missing."""
+    return _converted(df, numeric_acceptance(df), "numbers", _numeric_reader,
+                      "Columns converted to numeric", "Invalid numeric values converted to missing")
+
+
+def convert_dates(df: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The same for accepted date- or time-named text columns, as timestamps."""
+    return _converted(df, date_acceptance(df), "dates", lambda c: parse.date(col(c)),
+                      "Columns converted to dates", "Invalid date values converted to missing")
+
+
+def _converted(df, acceptance, label, reader, columns_key, cells_key):
+    accepted = {r["column"]: r["filled"] - r[label] for r in acceptance.where("accepted").collect()}
+    out = df.select(*[reader(c).alias(c) if c in accepted else col(c) for c in df.columns])
+    return out, {columns_key: len(accepted), cells_key: sum(accepted.values())}
+
+
 def _acceptance(df, columns, reader, label, share) -> DataFrame:
     schema = {"column": "string", "filled": "long", label: "long", "share": "double"}
     if not columns:
