@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.tables import shared_folder
 from .memory import per_batch
-from .words import raw
+from .words import BASE, raw, span_hashes
 
 MAGIC, STEP = b"RPAIR1\0\0", 1024  # STEP: symbols between running lengths
 END = 0
+OTHER_BASE, JOINED = 0xD1342543DE82EF95, 256
+_SOLID = r"[^\s\x00-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 SHARD = "part int, shard long, n_docs long, n_ids long, n_symbols long, payload binary"
 
 
@@ -53,7 +55,8 @@ class Pieces:
         self._forget()
 
     def _forget(self):
-        self.known, self.flat, self.lengths = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.keys, self.places = np.zeros((2, 0), np.uint64), np.zeros(0, np.int64)
+        self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids and offsets of the distinct pieces; piece numbers and offsets of the texts."""
@@ -79,15 +82,8 @@ class Pieces:
         # a last full stop or comma after a letter is always a token of its own
         tailed = pc.match_substring_regex(words, r"\p{L}[.,]$")
         cores = pc.if_else(tailed, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
-        if len(self.known) > self.KEPT:
-            self._forget()
-        texts = cores.dictionary.to_pylist()
-        new = [t for t in texts if t not in self.known]
-        flat, lengths = self._ids(new)
-        self.known.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
-        self.flat, self.lengths = np.concatenate((self.flat, flat)), np.concatenate((self.lengths, lengths))
+        place = self._places(cores.dictionary)
         start = np.cumsum(self.lengths) - self.lengths
-        place = np.fromiter(map(self.known.__getitem__, texts), np.int64, len(texts))
         where = place[cores.indices.to_numpy()]
         extra = tailed.to_numpy(zero_copy_only=False)
         n = self.lengths[where]
@@ -99,31 +95,50 @@ class Pieces:
         out[at[1:][extra] - 1] = np.where(stop, self.tails["."], self.tails[","])
         return out, at
 
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the number of ids of each text."""
-        spaced = np.fromiter((t[:1] == " " and t[1:].split() == [t[1:]] and "<|" not in t for t in texts), bool, len(texts))
-        led, rest = [t for t, s in zip(texts, spaced) if s], [t for t, s in zip(texts, spaced) if not s]
-        parts = [self._led(led), self._each(rest)]
-        if not len(led) or not len(rest):
-            return parts[0] if len(led) else parts[1]
+    def _places(self, texts: pa.Array) -> np.ndarray:
+        """Where the ids of each text stand among those remembered; new texts are encoded first.
+        Texts are known by 128 bits of hashes of their bytes."""
+        if len(self.lengths) > self.KEPT:
+            self._forget()
+        data, offsets = raw(texts)
+        data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+        keys = np.stack([span_hashes(data, offsets[:-1], offsets[1:], base) for base in (BASE, OTHER_BASE)])
+        at = np.minimum(np.searchsorted(self.keys[0], keys[0]), max(self.keys.shape[1] - 1, 0))
+        found = (self.keys[:, at] == keys).all(0) if self.keys.shape[1] else np.zeros(len(texts), bool)
+        new = np.flatnonzero(~found)
+        flat, lengths = self._encoded(texts.take(pa.array(new)))
+        place = np.empty(len(texts), np.int64)
+        place[found] = self.places[at[found]]
+        place[new] = len(self.lengths) + np.arange(len(new))
+        self.flat, self.lengths = np.concatenate((self.flat, flat)), np.concatenate((self.lengths, lengths))
+        keys, places = np.concatenate((self.keys, keys[:, new]), 1), np.concatenate((self.places, place[new]))
+        order = np.argsort(keys[0], kind="stable")
+        self.keys, self.places = keys[:, order], places[order]
+        return place
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and the number of ids of each text. Texts that begin with their only white
+        space, a space, are encoded many as one: a token that begins with a space begins the next."""
+        led = pc.and_(pc.match_substring_regex(texts, "^ " + _SOLID + "+$"), pc.invert(pc.match_substring(texts, "<|")))
+        spaced = led.to_numpy(zero_copy_only=False)
+        rest = self._ids(texts.filter(pc.invert(led)).to_pylist())
+        some = texts.filter(led)
+        data, offsets = raw(some)
+        body = data.tobytes()
+        flat, _ = self._ids([body[a:b].decode() for a, b in zip(offsets[:-1:JOINED], [*offsets[JOINED:-1:JOINED], offsets[-1]])] if len(some) else [], 64)
+        begins = np.flatnonzero(self.space_led[flat])
+        if len(begins) == len(some):
+            joined = flat, np.diff(np.append(begins, len(flat)))
+        else:
+            joined = self._ids(some.to_pylist())
         lengths = np.empty(len(texts), np.int64)
-        lengths[spaced], lengths[~spaced] = parts[0][1], parts[1][1]
+        lengths[spaced], lengths[~spaced] = joined[1], rest[1]
         of_led = np.repeat(spaced, lengths)
-        flat = np.empty(len(of_led), np.int32)
-        flat[of_led], flat[~of_led] = parts[0][0], parts[1][0]
-        return flat, lengths
-
-    def _led(self, texts: list[str], joined: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """Of texts that begin with their only white space, a space: many are encoded as one, and a token that
-        begins with a space begins the next."""
-        groups = ["".join(texts[i:i + joined]) for i in range(0, len(texts), joined)]
-        flat, _ = self._each(groups, 64)
-        begins = np.flatnonzero(self.space_led[flat])
-        if len(begins) != len(texts):
-            return self._each(texts)
-        return flat, np.diff(np.append(begins, len(flat)))
+        out = np.empty(len(of_led), np.int32)
+        out[of_led], out[~of_led] = joined[0], rest[0]
+        return out, lengths
 
-    def _each(self, texts: list[str], at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, texts: list[str], at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
         """The tokenizer's own objects are large, so only a few are held at a time."""
         flat, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for i in range(0, len(texts), at_once):
@@ -134,12 +149,16 @@ class Pieces:
 
 
 def _replace(seq: np.ndarray, joined: np.ndarray, weight, rules: list, next_symbol: int, least: int, most: int):
-    """One round: replace frequent neighbours (where ``joined`` allows) by new symbols.
+    """One round: replace frequent neighbours (where ``joined`` allows; None: everywhere) by new symbols.
     Returns the sequence, the mask of symbols that remain, and the next free symbol."""
     left, right = seq[:-1], seq[1:]
     slot = ((left * 0x9E3779B1 + right * 0x85EBCA77) >> 7) & ((1 << 20) - 1)
-    counts = np.bincount(slot, weights=weight * joined if weight is not None else joined, minlength=1 << 20)
-    maybe = np.flatnonzero((counts[slot] >= least) & joined)
+    if joined is None:
+        counts = np.bincount(slot, minlength=1 << 20)
+        maybe = np.flatnonzero((counts >= least)[slot])
+    else:
+        counts = np.bincount(slot, weights=weight * joined, minlength=1 << 20)
+        maybe = np.flatnonzero((counts >= least)[slot] & joined)
     if not len(maybe):
         return seq, None, next_symbol
     pairs, inverse = np.unique(left[maybe] << 32 | right[maybe], return_inverse=True)
@@ -194,7 +213,7 @@ def compress(ids: np.ndarray, at: np.ndarray, numbers: np.ndarray, *, first_symb
         if len(seq) < 2:
             break
         before = len(seq)
-        seq, keep, symbol = _replace(seq, np.ones(len(seq) - 1, bool), None, rules, symbol, least, most)
+        seq, keep, symbol = _replace(seq, None, None, rules, symbol, least, most)
         if keep is None or len(seq) > 0.98 * before:
             break
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), seq

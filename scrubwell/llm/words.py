@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20  # texts handled at once; one longer text is a slice of its own
-_BASE = 0x9E3779B97F4A7C15
+BASE = 0x9E3779B97F4A7C15
 _SPACES = (9, 10, 11, 12, 13, 32)
 
 
@@ -59,25 +59,31 @@ class Words:
         out = np.zeros(len(at), np.uint64)
         short = bool((width < size).any())
         for k in range(size):
-            step = mix(out * np.uint64(_BASE) + h[np.minimum(at + k, len(h) - 1)] + np.uint64(k + 1)) if len(h) else out
+            step = mix(out * np.uint64(BASE) + h[np.minimum(at + k, len(h) - 1)] + np.uint64(k + 1)) if len(h) else out
             out = np.where(k < width, step, out) if short else step
         return out, offsets
 
 
-def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(data: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of byte times power of the base, and the inverse powers."""
     n = len(data)
     power = np.ones(n + 1, np.uint64)
-    power[1:] = _BASE
+    power[1:] = base
     np.cumprod(power, out=power)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
     power[0] = 1
-    power[1:] = pow(_BASE, -1, 1 << 64)
+    power[1:] = pow(base, -1, 1 << 64)
     np.cumprod(power, out=power)
     return total, power
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    """One hash for each span of bytes."""
+    total, inverse = _sums(data, base)
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the offsets of its texts; null is empty."""
     if isinstance(column, pa.ChunkedArray):
