@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import parse
 from ..operators import findings, infer, missing, retail
 from ..operators.tables import shared_folder
 from ..plans.clean import clean
@@ -68,11 +69,11 @@ def scan_csv(spark, folder):
 
 _BAD = {"Quantity": "Quantity <= 0", "Unit_Price": "Unit_Price < 0", "Discount": "NOT Discount BETWEEN 0 AND 1",
         "Rating": "NOT Rating BETWEEN 1 AND 5", "Sales": "Sales < 0"}
-_KEPT = "(SELECT city, state, " + ", ".join(f"CASE WHEN NOT ({b}) THEN {c} END AS {c}" for c, b in _BAD.items()) + f" FROM {RETAIL_TYPED})"
+_WITHIN = "(SELECT city, state, " + ", ".join(f"CASE WHEN NOT ({b}) THEN {c} END AS {c}" for c, b in _BAD.items()) + f" FROM {RETAIL_TYPED})"
 _RETAIL_COUNTS = {
     **{f"Invalid {c.replace('_', ' ')} values converted to missing": f"SELECT count(*) FROM {RETAIL_TYPED} WHERE {b}" for c, b in _BAD.items()},
     "City/State consistency fixes": f"SELECT count(*) FROM (SELECT {q.case_map('city', retail.vocab.CITY_STATE)} AS e, state FROM {q.MO}) WHERE e IS NOT NULL AND e IS DISTINCT FROM state",
-    "Sales calculation mismatches": f"SELECT count(*) FROM {_KEPT} WHERE abs(Sales - {_EXPECTED}) > 0.01::DOUBLE",
+    "Sales calculation mismatches": f"SELECT count(*) FROM {_WITHIN} WHERE abs(Sales - {_EXPECTED}) > 0.01::DOUBLE",
     "Sales values recalculated from business rule": "SELECT 0",
     "Total business-rule violations": f"SELECT count(*) FILTER ({') + count(*) FILTER ('.join(_BAD.values())}) FROM {RETAIL_TYPED}",
 }
@@ -122,3 +123,26 @@ def date_convert(spark, folder):
 def report_summary(spark, folder):
     summary = findings.report(fx.from_sql(spark, folder, fx.MT)).summary
     return summary.select("rows", "columns", "missing_cells", "duplicate_rows")
+
+
+# every written form of a date, one for each remainder of the key: (pattern, what it keeps)
+_FORMS = [
+    ("yyyy-MM-dd", "day"), ("yyyy/M/d", "day"), ("yyyy.MM.dd", "day"), ("yyyy-MM-dd '13:05'", "clock"), ("yyyy-MM-dd'T13:05:00'", "clock"),
+    ("yyyy-MM-dd'T13:05:00Z'", "clock"), ("yyyy-MM-dd'T18:35:00+05:30'", "clock"), ("yyyy-MM-dd '1:05 PM'", "clock"), ("MM/dd/yyyy", "day"),
+    ("M-d-yyyy", "day"), ("MM.dd.yyyy", "day"), ("M/d/yy", "day"), ("MM/dd/yyyy '13:05'", "clock"), ("d MMM yyyy", "day"), ("d-MMM-yyyy", "day"),
+    ("d MMMM yyyy", "day"), ("MMM d, yyyy", "day"), ("MMMM d yyyy", "day"), ("MMM yyyy", "month"), ("MMMM-yyyy", "month"),
+    ("yyyyMMdd", "day"), ("yyyy", "year"), ("yyyy-MM", "month"), ("d/M/yyyy", "late")]
+_KEPT = {"day": "o_orderdate", "clock": "o_orderdate + INTERVAL 785 MINUTE", "month": "date_trunc('month', o_orderdate)",
+         "year": "date_trunc('year', o_orderdate)",
+         # the first number is the month unless it cannot be one
+         "late": "CASE WHEN day(o_orderdate) > 12 THEN o_orderdate ELSE make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) END"}
+
+
+@check("parse_date_forms", "SELECT o_orderkey, CASE o_orderkey % 24 " + " ".join(
+    f"WHEN {i} THEN CAST({_KEPT[kept]} AS TIMESTAMP)" for i, (_, kept) in enumerate(_FORMS)) + " END AS ordered FROM orders")
+def parse_date_forms(spark, folder):
+    orders = fx.table(spark, folder, "orders")
+    written = F.lit(None).cast("string")
+    for i, (pattern, _) in enumerate(_FORMS):
+        written = F.when(F.col("o_orderkey") % len(_FORMS) == i, F.date_format("o_orderdate", pattern)).otherwise(written)
+    return orders.select("o_orderkey", parse.date(written).alias("ordered"))

@@ -5,6 +5,8 @@ rule then works on that bounded dictionary (at most 200 labels per column).
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,21 @@ from pyspark.sql import Window as W
 from ..functions import names, text, vocab
 from .tables import col, histogram, literal_table, long_form
 
-SKETCH_GATE = 4 * vocab.HINTED_LABEL_LIMIT  # far above the sketch's error at the true limit
+@dataclass(frozen=True)
+class LabelLimits:
+    """How many labels a column may have to be a category: without and with a telling name, and
+    for spelling repair, which compares labels with each other. Columns above are left alone."""
+    plain: int = vocab.LABEL_LIMIT
+    hinted: int = vocab.HINTED_LABEL_LIMIT
+    spelling: int = vocab.SPELLING_LIMIT
+
+    @property
+    def gate(self) -> int:
+        """Estimate up to which labels are counted exactly, far above the sketch's error."""
+        return 4 * max(self.plain, self.hinted)
+
+
+DEFAULT_LIMITS = LabelLimits()
 _RAW_GATE = 20_000       # raw spellings counted exactly without a second sketch
 
 
@@ -73,17 +89,17 @@ def _distinct_estimates(df: DataFrame, columns: list[str], rule) -> dict[str, in
     return {c: row[i] for i, c in enumerate(columns)}
 
 
-def few_valued(df: DataFrame, columns: list[str]) -> list[str]:
+def few_valued(df: DataFrame, columns: list[str], limits: LabelLimits = DEFAULT_LIMITS) -> list[str]:
     """Columns whose distinct count is possibly within the label limits, so that free text is
     spared the exact count. Raw cells are sketched first; only columns with many raw spellings are
     sketched again in cleaned form. The gate is far above the sketch's error at the true limit."""
     raw = _distinct_estimates(df, columns, lambda c: c)
     many = [c for c in columns if raw[c] > _RAW_GATE]
     cleaned = _distinct_estimates(df, many, text.collapse)
-    return [c for c in columns if cleaned.get(c, 0) <= SKETCH_GATE]
+    return [c for c in columns if cleaned.get(c, 0) <= limits.gate]
 
 
-def label_sizes(df: DataFrame, columns=None) -> DataFrame:
+def label_sizes(df: DataFrame, columns=None, limits: LabelLimits = DEFAULT_LIMITS) -> DataFrame:
     """(column, distinct, filled, hinted, eligible) for every text column that may hold labels."""
     columns = label_inputs(df, columns)
     spark = df.sparkSession
@@ -91,20 +107,20 @@ def label_sizes(df: DataFrame, columns=None) -> DataFrame:
         F.count(F.lit(1)).alias("distinct"), F.sum("cnt").alias("filled"))
     hints = literal_table(spark, {"column": "string", "hinted": "boolean"},
                           [(c, names.is_label_hint(c)) for c in columns])
-    limit = F.when(F.col("hinted"), vocab.HINTED_LABEL_LIMIT).otherwise(vocab.LABEL_LIMIT)
+    limit = F.when(F.col("hinted"), limits.hinted).otherwise(limits.plain)
     return (hints.join(sizes, "column", "left").na.fill(0, ["distinct", "filled"])
             .withColumn("eligible", F.col("distinct").between(1, limit)))
 
 
 # --- dictionary ---------------------------------------------------------------------------
-def label_groups(df: DataFrame, columns=None) -> DataFrame:
+def label_groups(df: DataFrame, columns=None, limits: LabelLimits = DEFAULT_LIMITS) -> DataFrame:
     """Dictionary before spelling and title rules: one row per label of the eligible columns
     with each rule's verdict (NULL where it has none) in its own column."""
-    candidates = few_valued(df, label_inputs(df, columns))
-    return rule_verdicts(value_counts(df, candidates), candidates)
+    candidates = few_valued(df, label_inputs(df, columns), limits)
+    return rule_verdicts(value_counts(df, candidates), candidates, limits)
 
 
-def rule_verdicts(counts: DataFrame, columns: list[str]) -> DataFrame:
+def rule_verdicts(counts: DataFrame, columns: list[str], limits: LabelLimits = DEFAULT_LIMITS) -> DataFrame:
     spark = counts.sparkSession
     traits = literal_table(
         spark, {"column": "string", "column_key": "string", "hinted": "boolean", "gender": "boolean",
@@ -114,8 +130,7 @@ def rule_verdicts(counts: DataFrame, columns: list[str]) -> DataFrame:
     # from here on all rows of a column share a partition, so the windows add no shuffle
     labels = counts.join(F.broadcast(traits), "column").repartition("column")
     labels = (labels.withColumn("distinct", F.count(F.lit(1)).over(W.partitionBy("column")))
-              .where(F.col("distinct") <= F.when(F.col("hinted"), vocab.HINTED_LABEL_LIMIT)
-                     .otherwise(vocab.LABEL_LIMIT)))
+              .where(F.col("distinct") <= F.when(F.col("hinted"), limits.hinted).otherwise(limits.plain)))
     labels = labels.withColumn("format_key", format_key(F.col("value")))
     labels = labels.withColumn("compact_key", compact_key(F.col("format_key")))
     labels = labels.withColumn("plural_key", singular_key(F.col("format_key")))
@@ -175,17 +190,17 @@ def _spelling_repairer(limit: int, min_length: int, min_ratio: float):
     return repair
 
 
-def label_dictionary(df: DataFrame, columns=None) -> DataFrame:
+def label_dictionary(df: DataFrame, columns=None, limits: LabelLimits = DEFAULT_LIMITS) -> DataFrame:
     """(column, value, cnt, …, canonical) for every label of the eligible columns."""
-    return finish_dictionary(label_groups(df, columns))
+    return finish_dictionary(label_groups(df, columns, limits), limits)
 
 
-def finish_dictionary(groups: DataFrame) -> DataFrame:
+def finish_dictionary(groups: DataFrame, limits: LabelLimits = DEFAULT_LIMITS) -> DataFrame:
     """Spelling repair and final title case. The rows of a column already share a partition, so
-    the grouped step adds no shuffle; a group is one column's labels, at most 200."""
+    the grouped step adds no shuffle; a group is one column's labels, whose number is limited."""
     marked = groups.withColumn("plain", ~F.col("semantic") & ~F.col("gender") & F.col("hinted"))
     repaired = marked.groupBy("column").applyInPandas(
-        _spelling_repairer(vocab.SPELLING_LIMIT, vocab.SPELLING_MIN_LENGTH, vocab.SPELLING_RATIO),
+        _spelling_repairer(limits.spelling, vocab.SPELLING_MIN_LENGTH, vocab.SPELLING_RATIO),
         T.StructType(marked.schema.fields + [T.StructField("k9", T.StringType())]))
     label = F.coalesce("k9", "resolved")
     lower_case = (F.lower(label) == label) & (F.length(label) > 1)
@@ -214,10 +229,10 @@ def apply_mapping(df: DataFrame, mapping: dict[str, dict[str, str]]) -> DataFram
         for c in df.columns])
 
 
-def normalize_labels(df: DataFrame, columns=None) -> DataFrame:
+def normalize_labels(df: DataFrame, columns=None, limits: LabelLimits = DEFAULT_LIMITS) -> DataFrame:
     """Whitespace-clean the text columns and bring the labels of eligible ones to one spelling."""
     inputs = label_inputs(df, columns)
-    mapping = as_mapping(label_dictionary(df, columns))
+    mapping = as_mapping(label_dictionary(df, columns, limits))
     cleaned = df.select(*[text.collapse(col(c)).alias(c) if c in inputs else col(c) for c in df.columns])
     return apply_mapping(cleaned, mapping)
 

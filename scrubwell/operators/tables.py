@@ -146,6 +146,17 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back: later passes read only the columns they need, and
     a lost executor costs no recomputation of the steps before."""
+    return stage_at(df, name)[0]
+
+
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``stage``, with the folder, so that it can be discarded."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Replace the files of a folder by an empty table, through the public writer, which works
+    on every file system that Spark writes to."""
+    spark.range(0).write.mode("overwrite").parquet(path)

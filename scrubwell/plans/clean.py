@@ -24,7 +24,7 @@ from ..operators.infer import (EVIDENCE, NUMERIC_KINDS, Evidence, date_shape_cou
                                evidence_columns, needs_date_shapes)
 from ..operators.outliers import outliers
 from ..operators.profile import invalid_contact_cells, quality
-from ..operators.tables import col, literal_table, nan_to_null, stage
+from ..operators.tables import col, discard, literal_table, nan_to_null, stage_at
 
 CONVERTED_KINDS = (*NUMERIC_KINDS, "date", "boolean")
 STRATEGY_ALIASES = {  # fixed values: the long names of the strategies
@@ -186,15 +186,16 @@ def _any(flags: list[Column]) -> Column:
     return out
 
 
-def fit(df: DataFrame) -> tuple[CleaningPlan, dict]:
-    """The plan for a table and the counters of the passes that produced it."""
+def fit(df: DataFrame, limits: labels.LabelLimits = labels.DEFAULT_LIMITS) -> tuple[CleaningPlan, dict]:
+    """The plan for a table and the counters of the passes that produced it. Text columns with
+    more labels than ``limits`` allows get no label rules; the counters name them."""
     old_names = df.columns
     df = nan_to_null(names.standardize_names(df))
     renamed = list(zip(old_names, df.columns))
     stats = _scan(df)
     if not stats:  # a table without rows keeps its columns; names and types decide the kinds
         kinds = {f.name: decide_kind(f.name, f.dataType) for f in df.schema}
-        return CleaningPlan(tuple(renamed), kinds), {"stats": {}, "dictionary": []}
+        return CleaningPlan(tuple(renamed), kinds), {"stats": {}, "dictionary": [], "over_limit": []}
 
     def is_alive(f: T.StructField) -> bool:
         return stats[f.name]["filled" if _is_text(f) else "has"] > 0
@@ -212,23 +213,23 @@ def fit(df: DataFrame) -> tuple[CleaningPlan, dict]:
         elif stats[c]["largest"] is not None and 1 < stats[c]["largest"] <= 100:
             scale[c] = "whole"
 
-    holders = labels.label_inputs(df, [
-        f.name for f in fields if _is_text(f) and kinds[f.name] == "text"
-        and stats[f.name]["labels"] <= labels.SKETCH_GATE])
+    inputs = labels.label_inputs(df, [f.name for f in fields if _is_text(f) and kinds[f.name] == "text"])
+    holders = [c for c in inputs if stats[c]["labels"] <= limits.gate]
     dictionary = []
     if holders:
         # only label columns reach this pass; the blank-row filter cannot change their counts
         counts = labels.value_counts(df, holders, lambda c: _spelled("", text.missing_tokens(c)))
-        table = labels.finish_dictionary(labels.rule_verdicts(counts, holders))
+        table = labels.finish_dictionary(labels.rule_verdicts(counts, holders, limits), limits)
         dictionary = [r.asDict() for r in table.select("column", "value", "cnt", "canonical").collect()]
     label_map: dict[str, dict[str, str]] = {}
     for r in dictionary:
         if r["value"] != r["canonical"]:
             label_map.setdefault(r["column"], {})[r["value"]] = r["canonical"]
     kept = tuple((old, new) for old, new in renamed if new in kinds)
+    listed = {r["column"] for r in dictionary}
     first = next(iter(stats.values()))
     return CleaningPlan(kept, kinds, scale, label_map), {
-        "stats": stats, "dictionary": dictionary, "rows": first["rows"],
+        "stats": stats, "dictionary": dictionary, "over_limit": [c for c in inputs if c not in listed], "rows": first["rows"],
         "blank_rows": first["blank_rows"], "empty_rows": first["empty_rows"]}
 
 
@@ -239,6 +240,11 @@ class CleanResult:
     plan: CleaningPlan
     log: dict[str, object]
     outliers: dict[str, dict]
+    staged: str  # folder of the staged copy that ``data`` reads
+
+    def release(self) -> None:
+        """Drop the staged copy, once ``data`` has been written or is no longer wanted."""
+        discard(self.data.sparkSession, self.staged)
 
     def audit(self) -> DataFrame:
         """The log as a table (seq, action, result)."""
@@ -283,7 +289,8 @@ def _staged_counts(df: DataFrame, contacts: dict[str, str]) -> dict:
             "bad": dict(zip(bad, row[first:])), "bad_whole": dict(zip(bad, row[first + len(bad):]))}
 
 
-def clean(df: DataFrame, strategy: str = "leave", analyze_outliers: bool = True) -> CleanResult:
+def clean(df: DataFrame, strategy: str = "leave", analyze_outliers: bool = True,
+          limits: labels.LabelLimits = labels.DEFAULT_LIMITS) -> CleanResult:
     """Clean a table of unknown schema; see the module text for the steps.
 
     Few passes read the source: evidence, label counts, and the de-duplicated copy. The copy is
@@ -291,7 +298,7 @@ def clean(df: DataFrame, strategy: str = "leave", analyze_outliers: bool = True)
     strategy = STRATEGY_ALIASES.get(strategy, strategy)
     if strategy not in missing.STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; choose from {missing.STRATEGIES}")
-    plan, fitted = fit(df)
+    plan, fitted = fit(df, limits)
     stats, kinds = fitted["stats"], plan.kinds
     kept = [new for _, new in plan.columns]
     log: dict[str, object] = {
@@ -307,6 +314,7 @@ def clean(df: DataFrame, strategy: str = "leave", analyze_outliers: bool = True)
             r["cnt"] for r in fitted["dictionary"] if r["value"] != r["canonical"]),
         "Semantic categorical aliases standardized": _alias_changes(plan, fitted) if stats else 0,
     }
+    log["Text columns with too many labels for category rules"] = ", ".join(fitted["over_limit"]) or "None"
     range_hits = {c: stats[c]["outside"] for c in kept
                   if stats and kinds[c] in NUMERIC_KINDS and validate.range_of(c) and stats[c]["outside"]}
     for c, n in range_hits.items():
@@ -318,7 +326,7 @@ def clean(df: DataFrame, strategy: str = "leave", analyze_outliers: bool = True)
         stats[c]["filled"] - stats[c]["dates"] for c in kept if stats and kinds[c] == "date")
     log["Inferred column types"] = ", ".join(f"{c}: {k}" for c, k in kinds.items())
 
-    deduped = stage(missing.dedupe(plan.apply(df)), "deduped")
+    deduped, staged = stage_at(missing.dedupe(plan.apply(df)), "deduped")
     contacts = {c: k for c, k in kinds.items() if k in ("email", "phone")}
     counts = _staged_counts(deduped, contacts)
     rows, gaps = counts["rows"], counts["gaps"]
@@ -379,4 +387,4 @@ def clean(df: DataFrame, strategy: str = "leave", analyze_outliers: bool = True)
     log["Final duplicate rows"] = duplicates
     log["Final quality score"] = score
     log["Domain-specific rules applied"] = "None — universal mode"
-    return CleanResult(out, plan, log, found)
+    return CleanResult(out, plan, log, found, staged)

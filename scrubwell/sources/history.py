@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta
 from pathlib import PurePath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ RUN_SCHEMA = {
 }
 
 
+BEGUN_SCHEMA = {"run_id": "string", "saved_at": "string", "folder": "string"}
+
+
 def save_run(base: str, source_name: str, original: DataFrame, cleaned: DataFrame,
              log: dict[str, object] | None = None) -> str:
     """Write the snapshots, measure both tables on the snapshots, and append the run."""
@@ -30,6 +34,7 @@ def save_run(base: str, source_name: str, original: DataFrame, cleaned: DataFram
     stem = re.sub(r"[^A-Za-z0-9_-]+", "_", PurePath(source_name).stem).strip("_") or "dataset"
     folder = f"{base.rstrip('/')}/snapshots/{now:%Y-%m-%d_%H-%M-%S}_{stem}_{run_id}"
     paths = {"original": f"{folder}/original", "cleaned": f"{folder}/cleaned"}
+    literal_table(spark, BEGUN_SCHEMA, [(run_id, f"{now:%Y-%m-%d %H:%M:%S.%f}", folder)]).write.mode("append").parquet(f"{base.rstrip('/')}/begun")
     original.write.parquet(paths["original"])
     cleaned.write.parquet(paths["cleaned"])
     actions = literal_table(spark, {"seq": "long", "action": "string", "result": "string"},
@@ -46,10 +51,12 @@ def save_run(base: str, source_name: str, original: DataFrame, cleaned: DataFram
 
 def _read(spark: SparkSession, base: str, name: str, schema: dict[str, str]) -> DataFrame:
     ddl = ", ".join(f"{c} {t}" for c, t in schema.items())
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    try:
+        return spark.read.schema(ddl).parquet(f"{base.rstrip('/')}/{name}")
+    except AnalysisException as none:
+        if none.getCondition() != "PATH_NOT_FOUND":
+            raise
         return literal_table(spark, schema, [])
-    return spark.read.schema(ddl).parquet(folder.toString())
 
 
 def list_runs(spark: SparkSession, base: str) -> DataFrame:
@@ -79,12 +86,16 @@ def delete_run(spark: SparkSession, base: str, run_id: str) -> bool:
     return True
 
 
-def vacuum(spark: SparkSession, base: str) -> int:
-    """Remove the snapshot folders of deleted runs; returns how many were removed."""
-    runs = _read(spark, base, "runs", RUN_SCHEMA).join(
-        _read(spark, base, "deleted", {"run_id": "string"}), "run_id", "left_semi")
+def vacuum(spark: SparkSession, base: str, failed_after_hours: float = 24.0) -> int:
+    """Remove the snapshot folders of deleted runs, and of runs that began but were not recorded
+    within some hours; returns how many were removed. Folders are removed through the driver's
+    file systems, which a remote client does not have; all else here is reading and writing."""
+    runs, deleted = _read(spark, base, "runs", RUN_SCHEMA), _read(spark, base, "deleted", {"run_id": "string"})
+    old = f"{datetime.now() - timedelta(hours=failed_after_hours):%Y-%m-%d %H:%M:%S.%f}"
+    begun = _read(spark, base, "begun", BEGUN_SCHEMA)
+    failed = begun.where(F.col("saved_at") < old).join(runs, "run_id", "left_anti")
     removed = 0
-    for r in runs.select("original_path").toLocalIterator():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(r["original_path"]).getParent()
+    for r in begun.join(deleted, "run_id", "left_semi").union(failed).distinct().toLocalIterator():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(r["folder"])
         removed += folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return removed

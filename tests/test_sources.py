@@ -81,5 +81,18 @@ def test_history(spark, tmp_path):
     assert history.delete_run(spark, base, first)
     assert [r["run_id"] for r in history.list_runs(spark, base).collect()] == [second]
     assert history.get_run(spark, base, first).isEmpty()
-    assert history.vacuum(spark, base) == 1
+    assert history.vacuum(spark, base) == 1 and history.vacuum(spark, base) == 0
     assert not (tmp_path / "history").joinpath("snapshots", run["cleaned_path"].split("/")[-2]).exists()
+
+
+def test_a_failed_run_is_found_and_a_staged_copy_released(spark, tmp_path):
+    base, df = str(tmp_path / "history"), messy(spark)
+    broken = df.withColumn("size", F.raise_error(F.lit("broken")))
+    with pytest.raises(Exception, match="broken"):
+        history.save_run(base, "x.csv", df, broken)
+    assert history.list_runs(spark, base).isEmpty()
+    assert history.vacuum(spark, base) == 0 and history.vacuum(spark, base, failed_after_hours=-1) == 1
+    result = clean(df)
+    assert result.data.count() == 2
+    result.release()
+    assert spark.read.parquet(result.staged).isEmpty()
