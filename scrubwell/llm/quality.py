@@ -6,6 +6,8 @@ binomial test on the good labelled texts must show that the rule rejects no more
 of the allowed risk. The first failure ends the sequence (fixed-sequence testing, so steps need no
 correction); the error rate is divided by the number of strata and rules (Bonferroni). With
 probability 1 - ``error``, no stratum then loses more than ``risk`` of its good texts to the rules.
+Among the cutoffs that passed, the one is taken that rejects the most bad labelled texts less good
+ones (of equal ones the loosest), and none if no cutoff rejects more bad texts than good ones.
 """
 from __future__ import annotations
 
@@ -110,25 +112,29 @@ def binomial_tail(n: Column, k: Column, p: float, terms: int = 4000) -> Column:
 
 def cutoffs(measured: DataFrame, labels: DataFrame, *, risk: float = 0.02, error: float = 0.05,
             rules: dict[str, tuple[float, ...]] = RULES) -> DataFrame:
-    """(stratum, rule, cutoff) for every rule that passes its test in a stratum.
+    """(stratum, rule, cutoff) for every rule that passes its test in a stratum and is of use.
 
     ``labels`` has id and good; a text labelled twice is good only if every label says so. Only
-    good texts that the base rules pass are counted. No labels: no rows.
+    texts that the base rules pass are counted. No labels: no rows.
     """
-    good = labels.groupBy("id").agg(F.min(F.col("good").cast("int")).alias("good")).where("good = 1")
-    held = measured.join(good.select("id"), "id", "left_semi").where(~base_failed())
+    good = labels.groupBy("id").agg(F.min(F.col("good").cast("int")).alias("good")).where("good IS NOT NULL")
+    held = measured.join(good, "id").where(~base_failed())
     values = rule_values()
-    counted = held.groupBy("stratum").agg(F.count("*").alias("n"), *(
-        F.sum((values[r] > c).cast("long")).alias(f"{r}_{i}") for r, cs in rules.items() for i, c in enumerate(cs)))
+    is_good = F.col("good") == 1
+    counted = held.groupBy("stratum").agg(F.count_if(is_good).alias("n"), *(
+        F.count_if((values[r] > c) & flag).alias(f"{kind}_{r}_{i}") for r, cs in rules.items() for i, c in enumerate(cs)
+        for kind, flag in (("good", is_good), ("bad", ~is_good)))).where("n > 0")
     counted = stage(counted, "quality-counts")
     tests = counted.select("stratum", "n", F.inline(F.array(*(
-        F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k"))
+        F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"good_{r}_{i}").alias("k"), F.col(f"bad_{r}_{i}").alias("bad"))
         for r, cs in rules.items() for i, c in enumerate(cs)))))
     level = error / max(1, counted.count() * len(rules))
     tests = tests.withColumn("passed", binomial_tail(F.col("n"), F.col("k"), risk / len(rules)) <= level)
     ended = F.coalesce(F.min(F.when(~F.col("passed"), F.col("step"))), F.lit(1 << 30))
-    best = tests.groupBy("stratum", "rule").agg(ended.alias("ended"), F.sort_array(F.collect_list(F.struct("step", "cutoff"))).alias("steps"))
-    return best.where("ended > 0").select("stratum", "rule", F.element_at("steps", F.least("ended", F.size("steps")).cast("int"))["cutoff"].alias("cutoff"))
+    steps = tests.groupBy("stratum", "rule").agg(ended.alias("ended"), F.collect_list(F.struct(
+        (F.col("bad") - F.col("k")).alias("gain"), (-F.col("step")).alias("back"), "cutoff")).alias("steps"))
+    best = F.array_max(F.filter("steps", lambda x: -x["back"] < F.col("ended")))
+    return steps.withColumn("best", best).where("best.gain > 0").select("stratum", "rule", F.col("best.cutoff").alias("cutoff"))
 
 
 def _limits(chosen: DataFrame) -> DataFrame:

@@ -62,14 +62,15 @@ long AS (UNPIVOT (SELECT rid, doc_id, stratum, base_failed, symbols_per_word::DO
              repeated_words::DOUBLE AS repeated_words, repeated_lines::DOUBLE AS repeated_lines, word_length::DOUBLE AS word_length FROM v)
          ON symbols_per_word, marks_per_word, repeated_words, repeated_lines, word_length INTO NAME rule VALUE x),
 cut(rule, step, cutoff) AS (VALUES """ + _CUTS + r"""),
-good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-t AS (SELECT stratum, long.rule, step, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k
-      FROM long JOIN cut ON long.rule = cut.rule WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+marked AS (SELECT doc_id, min((quality = 1)::INT) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+t AS (SELECT stratum, long.rule, step, cutoff, sum(good)::BIGINT AS n, count(*) FILTER (x > cutoff AND good = 1) AS k,
+             count(*) FILTER (x > cutoff AND good = 0) AS bad
+      FROM long JOIN cut ON long.rule = cut.rule JOIN marked ON long.doc_id = marked.doc_id WHERE NOT base_failed GROUP BY ALL HAVING sum(good) > 0),
 p AS (SELECT t.*, CASE WHEN k >= n * 0.004 THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.004) + (n - i) * ln(0.996)))
              FROM (SELECT unnest(generate_series(0, k)) AS i)) END <= 0.05 / (5 * (SELECT count(DISTINCT stratum) FROM t)) AS passed FROM t),
-lim AS (SELECT stratum, rule, max(cutoff) FILTER (step + 1 = least(ended, steps)) AS cutoff FROM (
-          SELECT *, coalesce(min(step) FILTER (NOT passed) OVER (PARTITION BY stratum, rule), 1000) AS ended,
-                 count(*) OVER (PARTITION BY stratum, rule) AS steps FROM p) GROUP BY ALL),
+lim AS (SELECT stratum, rule, arg_max(cutoff, (bad - k) * 1000 - step) AS cutoff FROM (
+          SELECT *, coalesce(min(step) FILTER (NOT passed) OVER (PARTITION BY stratum, rule), 1000) AS ended FROM p)
+        WHERE step < ended GROUP BY ALL HAVING max(bad - k) > 0),
 bad AS (SELECT DISTINCT rid FROM long JOIN lim ON long.rule = lim.rule AND long.stratum = lim.stratum WHERE x > cutoff),
 judged AS (SELECT v.*, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM v)
 """
