@@ -20,15 +20,17 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SPACES, -1), "")
 
 
-def learn(labelled: DataFrame, *, words: int = 96, rows: int = 20_000, smoothing: float = 0.5) -> tuple[list[str], list[str], dict, dict]:
+def learn(texts: DataFrame, marks: DataFrame, *, words: int = 96, rows: int = 10_000, smoothing: float = 0.5) -> tuple[list[str], list[str], dict, dict]:
     """Domains, telling words, log odds and base scores of the classifier.
 
-    ``labelled`` has domain, text and key. At most ``rows`` rows are read, the first by hash of key
-    and text. For each domain the words with the largest gain over the others are taken, about
-    ``words`` in all, so the model's size is fixed.
+    ``texts`` has id and text, ``marks`` id and domain. At most ``rows`` marks are drawn, the first
+    by hash of the id, and only these, a table of fixed size, meet the texts. For each domain the
+    words with the largest gain over the others are taken, about ``words`` in all, so the model's
+    size is fixed.
     """
-    some = labelled.where("domain IS NOT NULL").select("domain", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("key", "text").alias("draw"))
-    some = stage(some.orderBy("draw", "text").limit(rows).select("domain", F.array_distinct(_words(F.col("text"))).alias("words")), "mixing-labelled")
+    drawn = marks.where("id IS NOT NULL AND domain IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id", "domain").limit(rows)
+    some = texts.join(stage(drawn, "mixing-drawn"), "id")
+    some = stage(some.select("domain", F.array_distinct(_words(F.coalesce("text", F.lit("")))).alias("words")), "mixing-labelled")
     sizes = {r.domain: r.n for r in some.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}
     domains = sorted(sizes)
     if not domains:
@@ -128,17 +130,18 @@ def rates(members: DataFrame, targets: dict[str, float], domains: list[str], *,
     return current.withColumn("rate", rate)
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text",
+def mixing_rates(docs: DataFrame, marks: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text",
                  tolerance: float = 1e-4) -> DataFrame:
     """(id_col, tokens, rate, p_<domain> ...) for every row of ``docs``.
 
-    ``labelled`` has key, text and domain; ``targets`` gives each domain's share of the expected
+    ``marks`` has id and domain of labelled rows; ``targets`` gives each domain's share of the expected
     tokens (rescaled over the domains that occur; a domain without target gets none). A null or
     empty text has no tokens, so its rate moves nothing; its posterior is that of no words. Words
     are lower-cased runs of other characters than 0x20 and 0x09-0x0D. Without labelled rows all
     rates are 1. Repeated rows get equal rates; an empty table gives no rows.
     """
-    model = learn(labelled)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    model = learn(texts, marks)
     domains = model[0]
     members = stage(posteriors(docs, model, id_col=id_col, text_col=text_col), "mixing-members")
     found = rates(members, targets, domains, tolerance=tolerance)

@@ -100,9 +100,9 @@ MIX = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
 
 
 def domain_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Languages of the labelled documents, as a table of (key, text, domain)."""
+    """Languages of the labelled documents, as a table of (id, domain)."""
     marked = read(spark, folder, "labels").select("doc_id").distinct()
-    return read(spark, folder, "documents").join(marked, "doc_id").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("domain"))
+    return read(spark, folder, "documents").select("doc_id", "lang").join(marked, "doc_id").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:

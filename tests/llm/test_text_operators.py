@@ -163,7 +163,7 @@ def test_rates_meet_targets_and_equal_numpy(make, spark):
         lang = "aabc"[i % 4]
         rows.append((i, " ".join(rng.choice([lang + str(k) for k in range(6)] + ["x", "y"]) for _ in range(rng.randrange(5, 40))), lang))
     docs = make(*rows, (900, None, "a"), (901, "", "b"), extra=CLASHING)
-    labelled = docs.where("doc_id % 3 = 0 AND doc_id < 300").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("domain"))
+    labelled = docs.where("doc_id % 3 = 0 AND doc_id < 300").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))
     targets = {"a": 0.2, "b": 0.5, "c": 0.3, "absent": 0.0}
     got = {r.doc_id: r for r in mixing_rates(docs, labelled, targets).collect()}
     p = np.array([[got[i].p_a, got[i].p_b, got[i].p_c] for i in range(300)])
@@ -179,7 +179,7 @@ def test_rates_meet_targets_and_equal_numpy(make, spark):
 
 
 def test_mixing_without_labels_or_rows(make, spark):
-    none = spark.createDataFrame([], "key long, text string, domain string")
+    none = spark.createDataFrame([], "id long, domain string")
     assert [r.rate for r in mixing_rates(make((1, "a"), (2, None)), none, {"a": 1.0}).collect()] == [1.0, 1.0]
     assert mixing_rates(make(), none, {"a": 1.0}).collect() == []
 
