@@ -100,11 +100,16 @@ def few_valued(df: DataFrame, columns: list[str], limits: LabelLimits = DEFAULT_
 
 
 def label_sizes(df: DataFrame, columns=None, limits: LabelLimits = DEFAULT_LIMITS) -> DataFrame:
-    """(column, distinct, filled, hinted, eligible) for every text column that may hold labels."""
+    """(column, distinct, filled, hinted, eligible) for every text column that may hold labels.
+    Cells are counted by digest, so the content of free text does not travel."""
     columns = label_inputs(df, columns)
     spark = df.sparkSession
-    sizes = value_counts(df, columns).groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct"), F.sum("cnt").alias("filled"))
+    if columns:
+        cells = long_form(df.select(*[text.digest_long(text.collapse(col(c))).alias(c) for c in columns]))
+        counts = histogram(cells.where(F.col("value").isNotNull()))
+    else:
+        counts = literal_table(spark, {"column": "string", "value": "string", "n": "long"}, [])
+    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("filled"))
     hints = literal_table(spark, {"column": "string", "hinted": "boolean"},
                           [(c, names.is_label_hint(c)) for c in columns])
     limit = F.when(F.col("hinted"), limits.hinted).otherwise(limits.plain)
