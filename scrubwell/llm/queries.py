@@ -41,10 +41,8 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 _CUTS = ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, cs in RULES.items() for i, c in enumerate(cs))
 OP2_MEASURES = r"""
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM {documents}),
-w AS (SELECT rid, doc_id, stratum, text, list_filter(regexp_split_to_array(text, '[ 	-
-]+'), lambda x: x <> '') AS words,
-             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS lines FROM d),
+w AS (SELECT rid, doc_id, stratum, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 win AS (SELECT rid, i, words[i:i+2] AS tri FROM (SELECT rid, words, unnest(generate_series(1, len(words) - 2)) AS i FROM w)),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (
           SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, tri) AS c FROM win) WHERE c > 1) GROUP BY rid),
