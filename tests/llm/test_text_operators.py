@@ -99,6 +99,30 @@ def test_scores_equal_plain_dictionaries(make, monkeypatch):
         assert small[i].n_tokens == len(t) + 1 and small[i].held_out == (i in (3, 5))
 
 
+def test_scores_depend_on_rows_not_on_their_packing(make, monkeypatch):
+    from scrubwell.llm import lm
+    seen = []
+    fit = lm._growth
+    monkeypatch.setattr(lm, "_growth", lambda levels: seen.append(levels) or fit(levels))
+    texts = [words(i, n, 30) for i, n in enumerate([5, 0, 40, 3, 17, 200, 1] * 6)]
+    docs, held = make(*((i, " ".join(t)) for i, t in enumerate(texts))), F.col("doc_id").isin(3, 5)
+    whole, *others = [{r.doc_id: r.score for r in score_texts(d, held_out=held, **sizes).collect()} for d, sizes in (
+        (docs.coalesce(1), {}), (docs.coalesce(1), {"block_bytes": 200}), (docs.repartition(7), {"block_bytes": 500, "bucket_tokens": 100}),
+        (docs.repartition(3), {"block_bytes": 3000, "bucket_tokens": 20}))]
+    after = {}
+    for i, t in enumerate(texts):
+        if i not in (3, 5):
+            for h, w in zip(["<s>", *t], [*t, "</s>"]):
+                after.setdefault(h, []).append(w)
+    expected = {}
+    for w in after.values():
+        count, kinds = expected.get(len(w).bit_length() - 1, (0, 0))
+        expected[len(w).bit_length() - 1] = count + len(w), kinds + len(set(w))
+    assert seen == [expected] * 4
+    for other in others:
+        assert other == pytest.approx(whole, abs=1e-9)
+
+
 def test_probabilities_of_a_state_sum_to_one():
     counts, unigram = {0: 3, 1: 1}, np.array([0.5, 0.3, 0.15, 0.05])
     seen, kinds = 4, 2.0
