@@ -1,12 +1,15 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The field is trained in numpy on a small labelled table and decoded by Viterbi, many texts at
-once. Its spans are added where they pass a check of their kind and touch no pattern's span.
+once. Neighbouring words of one label are parted into spans that pass a check of their kind and
+touch no pattern's span.
 """
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,12 @@ set token=9f8e7d6c5b4a3f2e/secret now
 with api_key=Zx81kq09Lm22/secret in it
 secret:q8w7e6r5t4y3/secret is old
 key: sk-9a8b7c6d5e4f3a2b/secret is mine
+mail kim99@localhost/email bob@mailhost/email today
+write to ann@intranet/email, lee_4@localhost/email please
+from kim@localhost/email bob@localhost/email and others
+both password=hunter22x9/secret token=9f8e7d6c5b4a3f2e/secret leaked
+with api_key=Zx81kq09Lm22/secret, secret=ab12cd34ef56/secret in it
+the key: sk-9a8b7c6d5e4f3a2b/secret token: Zx81kq09Lm22/secret is old
 in 1999 and 2021 they met
 on 2021-05-06 it rained
 in 1999 2021-05-06 and 2001
@@ -258,11 +267,54 @@ def _plausible(kind: str, found: str) -> bool:
     if kind == "phone":
         return 9 <= len(digits) <= 15
     if kind == "secret":
+        # words that end in = or : may stand before a value; a key after it begins another secret
+        parts = found.split()
+        value = next((i for i, w in enumerate(parts) if w[-1] not in "=:"), len(parts))
+        if any("=" in w or ":" in w for w in parts[value + 1:]):
+            return False
         value = re.split(r"[=:]", found)[-1]
         return len(value) >= 8 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
     return False  # an address that the pattern does not take is none
 
 
+#: most words and digits of one span
+_WORDS = {"email": 1, "card": 19, "phone": 15, "secret": 15}
+_DIGITS = {"card": 19, "phone": 15}
+
+
+def _bare(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span without punctuation at its ends."""
+    span = text[start:end].lstrip("<\"'[{")
+    start = end - len(span)
+    return start, start + len(span.rstrip(".,;:!?>\"']}"))
+
+
+def parted(text: str, kind: str, at: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """The plausible spans over neighbouring words (their starts and ends) that leave out the fewest
+    words; of these the most spans. No span goes on after a word that ends in a comma or semicolon."""
+    best, last = [(0, 0)] + [(-1, 0)] * len(at), [None] * (len(at) + 1)
+    for i, (first, _) in enumerate(at):
+        if best[i] > best[i + 1]:
+            best[i + 1], last[i + 1] = best[i], None
+        digits = 0
+        for j in range(i, min(len(at), i + _WORDS.get(kind, 0))):
+            digits += len(_NOT_DIGIT.sub("", text[slice(*at[j])]))
+            if digits > _DIGITS.get(kind, digits):
+                break
+            start, end = _bare(text, first, at[j][1])
+            covered = best[i][0] + j + 1 - i, best[i][1] + 1
+            if start < end and covered > best[j + 1] and _plausible(kind, text[start:end]):
+                best[j + 1], last[j + 1] = covered, (i, start, end)
+            if text[at[j][1] - 1] in ",;":
+                break
+    out, i = [], len(at)
+    while i:
+        if last[i]:
+            out.append((kind, *last[i][1:]))
+        i = last[i][0] if last[i] else i - 1
+    return out[::-1]
+
+
 def _joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
 
@@ -306,22 +358,31 @@ class Finder:
                                              names=["row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     def added(self, text, part, text_start, found, labels, base):
-        """Runs of one label as spans in code points, without punctuation at their ends."""
-        out, raw, j, at, chars = [], text.encode("utf-8", "surrogatepass"), 0, 0, 0
-        while j < len(found):
-            k = j
-            while k + 1 < len(found) and found[k + 1] == found[k] + 1 and labels[k + 1] == labels[j]:
-                k += 1
-            a, b = int(part.starts[found[j]] - text_start), int(part.ends[found[k]] - text_start)
-            chars, at = chars + len(raw[at:a].decode("utf-8", "surrogatepass")), a
-            span = raw[a:b].decode("utf-8", "surrogatepass")
-            bare = span.lstrip("<\"'[{").rstrip(".,;:!?>\"']}")
-            start = chars + span.find(bare) if bare else chars
-            kind, end = LABELS[labels[j]], start + len(bare)
-            if bare and _plausible(kind, bare) and all(end <= s or start >= e for _, s, e in base):
-                out.append((kind, start, end))
-            j = k + 1
-        return out
+        """Spans over runs of one label, in code points. A word that touches a pattern's span parts a run."""
+        raw, at, chars, where = text.encode("utf-8", "surrogatepass"), 0, 0, []
+        for word in found:
+            a, b = int(part.starts[word] - text_start), int(part.ends[word] - text_start)
+            start = chars + len(raw[at:a].decode("utf-8", "surrogatepass"))
+            at, chars = b, start + len(raw[a:b].decode("utf-8", "surrogatepass"))
+            where.append((start, chars))
+        base = sorted((s, e) for _, s, e in base)
+        starts, ends = [s for s, _ in base], list(accumulate((e for _, e in base), max))
+
+        def free(start, end):
+            before = bisect_left(starts, end)
+            return not before or ends[before - 1] <= start
+
+        out, run = [], []
+        for j, (word, label) in enumerate(zip(found, labels)):
+            if run and (word != found[j - 1] + 1 or label != labels[j - 1]):
+                out += parted(text, LABELS[labels[j - 1]], run)
+                run = []
+            if free(*_bare(text, *where[j])):
+                run.append(where[j])
+            elif run:
+                out += parted(text, LABELS[label], run)
+                run = []
+        return out + (parted(text, LABELS[labels[-1]], run) if run else [])
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
@@ -331,6 +392,8 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     field's as kind:start:end (code points, end exclusive), by kind, then start. Null texts are
     empty and have no spans; repeated rows are treated alike; an empty table gives no rows; other
     columns are ignored. A word without digit, @, = and : never belongs to a span of the field.
+    A run of words of one kind may hold several spans, of at most 19 words (phones and secrets 15,
+    e-mails one).
     """
     finder = Finder(field or train())
     kind = dict(docs.dtypes)[id_col]

@@ -173,6 +173,40 @@ def test_the_field_adds_spans_in_code_points(make):
     assert pii.find_personal_data(make()).collect() == []
 
 
+@pytest.fixture(scope="module")
+def finder():
+    return pii.Finder(pii.train())
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("call 456-555-2186, 456-555-2187 today", ["456-555-2186", "456-555-2187"]),
+    ("call (456) 555-2186 (456) 555-2187 today", ["(456) 555-2186", "(456) 555-2187"]),
+    ("phone 4565552186, 4565552187, 4565552188 now", ["4565552186", "4565552187", "4565552188"]),
+    ("card 4111 1111 1111 1111 5500 0000 0000 0004 expired", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+    ("paid with 5500-0000-0000-0004 4111-1111-1111-1111 today", ["5500-0000-0000-0004", "4111-1111-1111-1111"]),
+    ("write kim@localhost bob@localhost today", ["kim@localhost", "bob@localhost"]),
+    ("reply to kim99@localhost bob@site.org please", ["kim99@localhost", "bob@site.org"]),
+    ("the password=hunter22x9 token=9f8e7d6c5b4a3f2e was lost", ["password=hunter22x9", "token=9f8e7d6c5b4a3f2e"]),
+    ("key: sk-9a8b7c6d5e4f3a2b token: Zx81kq09Lm22 is", ["sk-9a8b7c6d5e4f3a2b", "Zx81kq09Lm22"]),
+    ("é mail kim@localhost, call 456-555-2186, 456-555-2187 or +1 (456) 555-2188 now", ["kim@localhost", "456-555-2186", "456-555-2187", "+1 (456) 555-2188"]),
+])
+def test_neighbours_of_one_kind_are_spans_of_their_own(finder, text, expected):
+    (out,) = finder.run([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["row", "text"])])
+    spans = [s.split(":")[1:] for s in out.column("spans")[0].as_py().split(",")]
+    assert sorted(text[int(a):int(b)] for a, b in spans) == sorted(expected)
+
+
+def test_runs_are_parted_at_words():
+    def found(kind, text):
+        return [text[a:b] for _, a, b in pii.parted(text, kind, [m.span() for m in re.finditer(r"\S+", text)])]
+    assert found("secret", "password=short token=9f8e7d6c5b4a3f2e") == ["token=9f8e7d6c5b4a3f2e"]
+    assert found("secret", "token=9f8e7d6c5b4a3f2e password=short") == ["token=9f8e7d6c5b4a3f2e"]
+    assert found("secret", "password: hunter22x9 secret:q8w7 e6r5t4y3") == ["password: hunter22x9", "secret:q8w7 e6r5t4y3"]
+    assert found("phone", "12345, 4565552186") == ["4565552186"]
+    assert found("phone", "030 5552186 030 5552187") == ["030 5552186", "030 5552187"]
+    assert found("ip", "10.0.0.1 10.0.0.2") == [] == found("card", "4111 1111 1111 1112")
+
+
 def test_runs_decode_as_the_whole_text_with_plain_words_fixed():
     field, rng = pii.train(), np.random.default_rng(0)
     finder = pii.Finder(field)
