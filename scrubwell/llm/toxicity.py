@@ -150,11 +150,24 @@ def _scores(net: Network):
     return run
 
 
+def longest(lengths: list[tuple[int, int]], slots: int) -> int:
+    """The length in characters to which texts (length, number of such) are cut to hold ``slots`` words; six characters
+    count as a word, and three words are added to a text."""
+    left, texts = 6 * (slots - 3 * sum(n for _, n in lengths)), sum(n for _, n in lengths)
+    for length, n in sorted(lengths):
+        if length * texts > left:
+            return max(left // texts, 1)
+        left, texts = left - length * n, texts - n
+    return max((length for length, _ in lengths), default=0)
+
+
 def fit(docs: DataFrame, marks: DataFrame, *, rows: int = 4000, slots: int = 6_000_000, **options) -> Network:
     """A network from ``docs`` (id, text) and ``marks`` (id, label; one row an id). Of each label at
-    most ``rows`` / 2 ids are drawn, the first by hash, and of their texts as many, whole, as hold
-    about ``slots`` words; the share of label 1 is counted over all marked ids. Only the drawn
-    ids, a table of fixed size, meet the texts."""
+    most ``rows`` / 2 ids are drawn, the first by hash. Their texts are whole as long as they hold
+    about ``slots`` words together; else the longest are cut, all to one length, at which they do, and
+    of each the window is taken that a hash says, so that every drawn id is learned from. Of ids
+    with more than ``slots`` / 6 texts together the first texts of every id are taken. The share of
+    label 1 is counted over all marked ids. Only the drawn ids, a table of fixed size, meet the texts."""
     known = stage(docs.select("id").distinct().join(marks.where("label IS NOT NULL"), "id"), "toxicity-known")
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     drawn = None
@@ -162,8 +175,15 @@ def fit(docs: DataFrame, marks: DataFrame, *, rows: int = 4000, slots: int = 6_0
         some = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(rows // 2)
         drawn = some if drawn is None else drawn.union(some)
     texts = stage(docs.join(stage(drawn, "toxicity-drawn"), "id").select("id", "text", "label"), "toxicity-texts")
-    size = F.sum(F.length("text") / 6 + 3).over(Window.orderBy(F.xxhash64("id"), "id", "text"))  # of the drawn rows only
-    held = texts.withColumn("size", size).where(F.col("size") <= slots).select("text", "label")
+    order = [F.xxhash64("id"), "id", "text"]
+    if texts.count() > slots // 6:  # ids with many texts: the first texts of all ids go before the second ones
+        turn = F.row_number().over(Window.partitionBy("id").orderBy("text"))
+        texts = stage(texts.withColumn("turn", turn).orderBy("turn", *order).limit(slots // 6).drop("turn"), "toxicity-texts")
+    lengths = [(r.length, r.n) for r in texts.groupBy(F.length("text").alias("length")).agg(F.count("*").alias("n")).collect()]
+    most = longest(lengths, slots)
+    start = F.pmod(F.xxhash64("id", F.lit("window")), F.length("text") - most + 1).cast("int") + 1
+    window = F.when(F.length("text") > most, F.substring("text", start, F.lit(most))).otherwise(F.col("text"))
+    held = texts.orderBy(*order).select(window.alias("text"), "label")
     data = held.mapInArrow(_encode, "slots binary, label int").collect()
     ids = [np.frombuffer(r.slots, np.int32).reshape(-1, len(STEMS)) for r in data]
     labels = np.array([r.label for r in data], np.float32)
@@ -172,7 +192,7 @@ def fit(docs: DataFrame, marks: DataFrame, *, rows: int = 4000, slots: int = 6_0
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang",
-                   held_out: Column | None = None, rows: int = 4000, floor: float = 0.3) -> DataFrame:
+                   held_out: Column | None = None, rows: int = 4000, slots: int = 6_000_000, floor: float = 0.3) -> DataFrame:
     """(id_col, held_out, score, predicted, threshold, flagged) for every row of ``docs``.
 
     ``labels`` has id and label (1: toxic); rows for which ``held_out`` is true teach nothing. The
@@ -180,13 +200,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     the row's language (null: its own), which is ``floor`` where a language has no labelled texts
     of both kinds. Null texts are empty and are scored like any text. A text with several labels
     counts as toxic if one says so. Without labels all scores are equal. Repeated rows are scored
-    alike; an empty table gives no rows; other columns are ignored.
+    alike; an empty table gives no rows; other columns are ignored. ``rows`` and ``slots`` bound the
+    sample that is learned from, in ids and in words.
     """
     flag = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.coalesce(F.col(language_col).cast("string"), F.lit("")).alias("language"), flag.alias("held"))
     marks = labels.groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
-    net = fit(docs.where(~F.col("held")).select("id", "text"), marks, rows=rows)
+    net = fit(docs.where(~F.col("held")).select("id", "text"), marks, rows=rows, slots=slots)
     kinds = dict(docs.dtypes)
     packed = docs.select(F.struct("id", "language", "held").alias("row"), "text")
     scored = stage(packed.mapInArrow(per_batch(_scores(net)), f"row struct<id:{kinds['id']},language:string,held:boolean>, score double")

@@ -226,6 +226,30 @@ def test_toxic_words_and_stems_are_found_on_held_out_rows(make, spark):
     assert got[900].score == got[901].score and got[0].held_out and not got[1].held_out
 
 
+@pytest.mark.parametrize("huge", [range(1), range(40)])
+def test_huge_labelled_texts_leave_the_others_in_the_sample(make, spark, huge):
+    rng, rows, labels = random.Random(5), [], []
+    for i in range(400):
+        w, toxic = words(i, 20, 200), i % 2 == 0
+        if toxic:
+            w[rng.randrange(20)] = "vileword"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    long = [(1000 + i, "calm and plain " * 5_000) for i in huge]
+    labels += [(i, 0) for i, _ in long]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(make(*rows, *long), spark.createDataFrame(labels, "id long, label int"),
+                                                         held_out=(F.col("doc_id") % 5 == 0) & (F.col("doc_id") < 1000), slots=12_000).collect()}
+    held = range(0, 400, 5)
+    assert sum(got[i].predicted == (i % 2 == 0) for i in held) / len(held) > 0.95
+
+
+def test_only_the_longest_texts_are_cut():
+    assert toxicity.longest([(10, 5), (600, 1)], 10_000) == 600
+    assert toxicity.longest([(10, 5), (6000, 1)], 418) == 6 * (418 - 18) - 50
+    assert toxicity.longest([(100, 3), (200, 1)], 12 + 50) == 75
+    assert toxicity.longest([], 100) == 0
+
+
 def test_toxicity_without_labels_or_rows(make, spark):
     none = spark.createDataFrame([], "id long, label int")
     a, b = toxicity.score_toxicity(make((1, "x"), (2, None)), none).collect()
