@@ -4,10 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.tables import stage
-from . import chat
+from . import chat, fim, turns
 from .decontaminate import leaks
 from .lm import score_texts
 from .mixing import mixing_rates
+from .neighbours import nearest
 from .ngram_join import jaccard_components
 from .pii import find_personal_data
 from .quality import RULES, judge
@@ -157,6 +158,39 @@ FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fim.fill_in_middle(read(spark, folder, "documents"), seed=7, rate=100, spm_rate=50)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units,
+             ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM d),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1))::BIGINT AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1))::BIGINT AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return turns.repair_report(turns.edits(turns.damage(given)), given)
+
+
+def op13_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 CHECKS = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_quality_rules": (op2_quality_rules, OP2_SQL),
@@ -168,4 +202,7 @@ CHECKS = {
     "op8_personal_data": (op8_personal_data, None),
     "op9_chat_format": (op9_chat_format, OP9_SQL),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
+    "op11_fill_in_middle": (op11_fill_in_middle, OP11_SQL),
+    "op12_turn_repair": (op12_turn_repair, None),
+    "op13_nearest_vectors": (op13_nearest_vectors, None),
 }
