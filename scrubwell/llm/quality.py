@@ -19,6 +19,7 @@ from ..operators.tables import stage
 
 SYMBOLS = "#*$%&|<>"
 SPACES = r"[\x20\x09-\x0D]+"
+BROADCAST = 10_000  # strata with limits (a short row each) that are broadcast; more are joined
 
 #: rule -> cutoffs from loose to strict; a text is rejected above the cutoff
 RULES = {
@@ -165,14 +166,12 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def passing(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
             risk: float = 0.02, error: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` would keep, with all their columns. Texts are
-    measured where they are read and never shuffled; labelled ones are measured a second time."""
-    options = {"id_col": id_col, "text_col": text_col, "stratum_col": stratum_col}
-    known = stage(labels.select("id").distinct(), "quality-labelled")
-    taught = docs.join(known, F.col(id_col) == known["id"], "left_semi")
-    limits = _limits(cutoffs(stage(measures(taught, **options).drop("row"), "quality-measures"), labels, risk=risk, error=error))
-    judged = _verdicts(measures(docs, **options, carry=F.struct(*(F.col(f"`{c}`") for c in docs.columns))), limits)
-    # a plain filter would be pushed below the measures and repeat them; this one cannot be
-    marked = F.struct(F.lit(True).alias("kept"), F.col("row"))
-    rows = judged.select(F.inline_outer(F.when(F.col("kept"), F.array(marked)))).where("kept")
-    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    """The rows of ``docs`` that :func:`judge` would keep, with all their columns. Every text is
+    measured once, where it is read, and written beside its measures; the labels meet the measures
+    alone, and the few limits come to the rows, so no text is shuffled."""
+    carry = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    measured = stage(measures(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col, carry=carry), "quality-rows")
+    limits = _limits(cutoffs(measured.drop("row"), labels, risk=risk, error=error))
+    if limits.count() <= BROADCAST:
+        limits = F.broadcast(limits)
+    return _verdicts(measured, limits).where("kept").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
