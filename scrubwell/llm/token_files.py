@@ -21,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.tables import shared_folder
+from .ids import long_id
 from .memory import per_batch
 from .words import BASE, raw, span_hashes
 
-MAGIC, STEP = b"RPAIR1\0\0", 1024  # STEP: symbols between running lengths
+MAGIC, STEP = b"RPAIR2\0\0", 1024  # STEP: symbols between running lengths
 END = 0
 OTHER_BASE, JOINED = 0xD1342543DE82EF95, 256
 _SOLID = r"[^\s\x00-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -42,7 +43,7 @@ class Pieces:
     across these places, so encoding the pieces gives the ids of the whole text. Texts with other
     white space, or with the cut mark or a special token in them, are encoded as they are."""
 
-    KEPT = 500_000  # pieces whose ids are remembered from shard to shard
+    KEPT = 250_000  # pieces whose ids are remembered from shard to shard
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -148,84 +149,99 @@ class Pieces:
         return np.concatenate(flat), np.concatenate(lengths)
 
 
-def _replace(seq: np.ndarray, joined: np.ndarray, weight, rules: list, next_symbol: int, least: int, most: int):
-    """One round: replace frequent neighbours (where ``joined`` allows; None: everywhere) by new symbols.
-    Returns the sequence, the mask of symbols that remain, and the next free symbol."""
-    left, right = seq[:-1], seq[1:]
-    slot = ((left * 0x9E3779B1 + right * 0x85EBCA77) >> 7) & ((1 << 20) - 1)
-    if joined is None:
-        counts = np.bincount(slot, minlength=1 << 20)
-        maybe = np.flatnonzero((counts >= least)[slot])
-    else:
-        counts = np.bincount(slot, weights=weight * joined, minlength=1 << 20)
-        maybe = np.flatnonzero((counts >= least)[slot] & joined)
+SLOTS = 1 << 20
+#: odd multipliers of the pair hash, another two each round
+_STIR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
+
+
+def _replace(seq: np.ndarray, joined: np.ndarray | None, weight: np.ndarray | None, rules: list, next_symbol: int, least: int, turn: int):
+    """One round: replace all frequent neighbours (where ``joined`` allows; None: everywhere) that no
+    more frequent pair overlaps by new symbols. Pairs are counted by hash slots, each for the pair
+    that wrote it last; others of its slot get their turn under the next round's hash. Where that
+    finds no frequent pair, all pairs of full slots are counted by themselves. Returns the
+    sequence, the mask of symbols that remain and the next free symbol; the mask is None if no pair
+    occurs ``least`` times."""
+    left, right = seq[:-1].view(np.uint32), seq[1:].view(np.uint32)
+    slot = (left * _STIR[turn % 5] + right * _STIR[(turn + 1 + turn // 5 % 4) % 5]) >> np.uint32(12)
+    counts = np.bincount(slot, weights=None if joined is None else weight * joined, minlength=SLOTS)
+    often = counts >= least
+    maybe = np.flatnonzero(often[slot] if joined is None else often[slot] & joined)
     if not len(maybe):
         return seq, None, next_symbol
-    pairs, inverse = np.unique(left[maybe] << 32 | right[maybe], return_inverse=True)
-    exact = np.bincount(inverse, weights=weight[maybe] if weight is not None else None)
-    order = np.lexsort((pairs, -exact))[:most]
-    order = order[exact[order] >= least]
-    if not len(order):
-        return seq, None, next_symbol
-    rank = np.zeros(len(pairs), np.int64)
-    rank[order] = len(order) - np.arange(len(order))  # larger is more frequent
+    own, pairs = slot[maybe], left[maybe].astype(np.int64) << 32 | right[maybe]
+    weights = None if weight is None else weight[maybe]
+    holder = np.zeros(SLOTS, np.int64)
+    holder[own] = pairs
+    held = np.flatnonzero(holder[own] == pairs)
+    exact = np.bincount(own[held], weights=None if weight is None else weights[held], minlength=SLOTS)
+    if not (exact >= least).any():
+        every, where, inverse = np.unique(pairs, return_index=True, return_inverse=True)
+        frequent = np.flatnonzero(np.bincount(inverse, weights=weights) >= least)
+        if not len(frequent):
+            return seq, None, next_symbol
+        holder[own[where[frequent]]] = every[frequent]
+        held = np.flatnonzero(holder[own] == pairs)
+        exact = np.bincount(own[held], weights=None if weight is None else weights[held], minlength=SLOTS)
+    own, maybe = own[held], maybe[held]
+    rank = np.where(exact >= least, exact.astype(np.int64) * SLOTS + np.arange(SLOTS), 0)  # larger is more frequent
     strength = np.zeros(len(seq) + 1, np.int64)  # of the pair that starts at i - 1
-    strength[maybe + 1] = rank[inverse]
+    strength[maybe + 1] = rank[own]
     here, before, after = strength[1:-1], strength[:-2], strength[2:]
-    peak = (here > 0) & (here >= before) & (here >= after)
-    begin = np.flatnonzero(peak & ~((here == before) & (before > 0)))
-    at = np.flatnonzero(peak)
+    at = np.flatnonzero((here > 0) & (here >= before) & (here >= after))
+    begin = at[~((here[at] == before[at]) & (before[at] > 0))]
     first = begin[np.maximum(np.searchsorted(begin, at, "right") - 1, 0)] if len(begin) else at
     take = at[(at - first) % 2 == 0]  # every other one in a run of one pair
-    take = take[np.concatenate(([True], np.diff(take) > 1))] if len(take) else take
-    used = np.unique(strength[take + 1])[::-1]
-    number = np.zeros(len(order) + 1, np.int64)
+    take = take[np.concatenate(([True], np.diff(take) > 1))]
+    of = slot[take]
+    number = np.zeros(SLOTS, np.int64)
+    number[of] = 1
+    used = np.flatnonzero(number)
     number[used] = next_symbol + np.arange(len(used))
-    chosen = pairs[order[len(order) - used]]
-    rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1))
+    rules.append(np.stack([holder[used] >> 32, holder[used] & 0xFFFFFFFF], 1))
     out = seq.copy()
-    out[take] = number[strength[take + 1]]
+    out[take] = number[of]
     keep = np.ones(len(seq), bool)
     keep[take + 1] = False
     return out[keep], keep, next_symbol + len(used)
 
 
-def compress(ids: np.ndarray, at: np.ndarray, numbers: np.ndarray, *, first_symbol: int, least: int = 16,
-             rounds: int = 12, whole_rounds: int = 3, most: int = 4096):
-    """(rules, symbols) of the sequence of pieces ``numbers``; piece k is ids[at[k]:at[k + 1]]."""
-    rules, symbol = [], first_symbol
+def compress(ids: np.ndarray, at: np.ndarray, numbers: np.ndarray, *, first_symbol: int, least: int = 16, rounds: int | None = None):
+    """(rules, symbols) of the sequence of pieces ``numbers``; piece k is ids[at[k]:at[k + 1]].
+    Goes on until no pair occurs ``least`` times, first inside the distinct pieces, then in the
+    whole sequence, or after ``rounds`` rounds of each."""
+    rules, symbol, ids = [], first_symbol, ids.astype(np.int32)
     sizes = np.diff(at)
     weight = np.bincount(numbers, minlength=len(sizes))
-    piece = np.repeat(np.arange(len(sizes)), sizes)
-    for _ in range(rounds):
-        if len(ids) < 2:
-            break
-        ids_, keep, symbol = _replace(ids, piece[1:] == piece[:-1], weight[piece[:-1]], rules, symbol, least, most)
+    piece, turn = np.repeat(np.arange(len(sizes)), sizes), 0
+    while len(ids) > 1 and turn != rounds:
+        ids, keep, symbol = _replace(ids, piece[1:] == piece[:-1], weight[piece[:-1]], rules, symbol, least, turn)
         if keep is None:
             break
-        ids, piece = ids_, piece[keep]
+        piece, turn = piece[keep], turn + 1
     sizes = np.bincount(piece, minlength=len(sizes))
     start = np.cumsum(sizes) - sizes
     n = sizes[numbers]
     run = np.cumsum(n) - n
     seq = ids[np.arange(int(n.sum())) + np.repeat(start[numbers] - run, n)]
-    for _ in range(whole_rounds):
-        if len(seq) < 2:
-            break
-        before = len(seq)
-        seq, keep, symbol = _replace(seq, None, None, rules, symbol, least, most)
-        if keep is None or len(seq) > 0.98 * before:
+    turn = 0
+    while len(seq) > 1 and turn != rounds:
+        seq, keep, symbol = _replace(seq, None, None, rules, symbol, least, turn)
+        if keep is None:
             break
+        turn += 1
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), seq
 
 
-def write_shard(doc_ids: np.ndarray, doc_sizes: np.ndarray, first_symbol: int, rules: np.ndarray, seq: np.ndarray) -> bytes:
-    """Header, document ids and offsets, rules, expansion lengths, running lengths, symbols."""
+def write_shard(doc_ids: np.ndarray, doc_sizes: np.ndarray, first_symbol: int, rules: np.ndarray, seq: np.ndarray,
+                no_id: np.ndarray | None = None) -> bytes:
+    """Header, document ids and offsets, rules, expansion lengths, running lengths, symbols, and a
+    bit a document that has no id."""
+    missing = np.packbits(np.zeros(len(doc_ids), bool) if no_id is None else no_id)
     lengths = _lengths(first_symbol, rules)
     total = np.concatenate(([0], np.cumsum(_expanded(seq, first_symbol, lengths))))
     head = np.array([len(doc_ids), first_symbol, len(rules), len(seq), total[-1]], "<i8")
     parts = (MAGIC, head, doc_ids.astype("<i8"), np.concatenate(([0], np.cumsum(doc_sizes))).astype("<i8"),
-             rules.astype("<u4"), lengths.astype("<i8"), total[:-1:STEP].astype("<i8"), seq.astype("<u4"))
+             rules.astype("<u4"), lengths.astype("<i8"), total[:-1:STEP].astype("<i8"), seq.astype("<u4"), missing)
     return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
 
 
@@ -259,6 +275,7 @@ class Shard:
         self.rules = take("<u4", 2 * n_rules).reshape(-1, 2).astype(np.int64)
         self.lengths = take("<i8", n_rules)
         self.running, self.seq = take("<i8", -(-n_symbols // STEP)), take("<u4", n_symbols)
+        self.no_id = np.unpackbits(take("u1", -(-n // 8)), count=n).astype(bool)
         self.flat = None
 
     def _table(self):
@@ -303,7 +320,7 @@ class Shard:
         return out[a - offset:b - offset].astype("<u4")
 
 
-def _write(path: str, shard_bytes: int):
+def _write(path: str, shard_bytes: int, least: int, rounds: int | None):
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
                         ("n_symbols", pa.int64()), ("payload", pa.binary())])
 
@@ -311,7 +328,8 @@ def _write(path: str, shard_bytes: int):
         pieces, shard = Pieces(path), 0
         first_symbol = pieces.tokenizer.get_vocab_size(with_added_tokens=True)
         for batch in batches:
-            doc_ids = batch.column(0).cast(pa.int64()).fill_null(-1 << 63).to_numpy(zero_copy_only=False)
+            keys = batch.column(0).cast(pa.int64())
+            doc_ids, no_id = keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_null().to_numpy(zero_copy_only=False)
             _, text_at = raw(batch.column(1))
             i = 0
             while i < len(doc_ids):
@@ -322,8 +340,8 @@ def _write(path: str, shard_bytes: int):
                 size = np.concatenate(([0], np.cumsum(np.diff(at)[numbers])))
                 ends = offsets[1:] + np.arange(1, len(offsets))
                 doc_sizes = np.diff(np.concatenate(([0], size[ends])))
-                rules, seq = compress(ids, at, numbers, first_symbol=first_symbol)
-                payload = write_shard(doc_ids[i:j], doc_sizes, first_symbol, rules, seq)
+                rules, seq = compress(ids, at, numbers, first_symbol=first_symbol, least=least, rounds=rounds)
+                payload = write_shard(doc_ids[i:j], doc_sizes, first_symbol, rules, seq, no_id[i:j])
                 yield pa.RecordBatch.from_pylist([{
                     "part": TaskContext.get().partitionId(), "shard": shard, "n_docs": j - i, "n_ids": int(doc_sizes.sum()),
                     "n_symbols": len(seq), "payload": payload}], schema)
@@ -332,17 +350,20 @@ def _write(path: str, shard_bytes: int):
 
 
 def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 part_bytes: int = 48 << 20, shard_bytes: int = 12 << 20) -> None:
+                 part_bytes: int = 48 << 20, shard_bytes: int = 6 << 20, least: int = 16, rounds: int | None = None) -> None:
     """Encode every text (null: empty), add the end id, and write shards in ascending id order.
 
     Rows with one id stand together, ordered by text; a null id comes first. The tokenizer file
     must lie at the same place on every machine. An empty table writes an empty set of shards.
+    Pairs are replaced until none occurs ``least`` times in its shard, or for ``rounds`` rounds inside
+    distinct pieces and as many over the whole sequence.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
-    (docs.repartitionByRange(int(parts), "id").sortWithinPartitions("id", "text")
-     .mapInArrow(per_batch(_write(tokenizer or default_tokenizer(), shard_bytes)), SHARD)
+    # rows of one id (or none) are cut between texts, by their beginnings, which sort as the texts do
+    (docs.repartitionByRange(int(parts), F.col("id"), F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
+     .mapInArrow(per_batch(_write(tokenizer or default_tokenizer(), shard_bytes, least, rounds)), SHARD)
      .write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(folder))
 
 
@@ -356,9 +377,8 @@ def _read(batches):
             body = memoryview(np.ascontiguousarray(ids)).cast("B")
             crc = [zlib.crc32(body[4 * a:4 * b]) for a, b in zip(at[:-1], at[1:])]
             n = len(crc)
-            null = shard.doc_ids == -1 << 63
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(shard.doc_ids.astype(np.int64), mask=null),
+                [pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(shard.doc_ids.astype(np.int64), mask=shard.no_id),
                  pa.array(at[:-1].astype(np.int64)), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], schema=schema)
 
 
