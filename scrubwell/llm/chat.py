@@ -34,27 +34,32 @@ def threads(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
     return rows.select("conv", at.alias("id"), F.when(at > 1, at - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame, *, max_rounds: int = 40) -> DataFrame:
+def paths(messages: DataFrame) -> DataFrame:
     """(conv, leaf, distance, id) for every message on the way from each leaf to its root.
 
     A parent that is null or missing makes a root. Each round joins the paths so far with
-    ancestors twice as far away, so a depth of d takes log2(d) rounds. Cyclic replies raise.
+    ancestors twice as far away, so a depth of d takes log2(d) rounds. Cyclic replies raise, before
+    any path is extended.
     """
     nodes = messages.select("conv", "id", "parent")
     links = nodes.join(nodes.select("conv", F.col("id").alias("parent")).distinct(), ["conv", "parent"])
     jump = stage(links.select("conv", "id", F.col("parent").alias("up")).distinct(), "chat-links")
     leaves = nodes.select("conv", "id").distinct().join(jump.select("conv", F.col("up").alias("id")), ["conv", "id"], "left_anti")
     found = stage(leaves.select("conv", F.col("id").alias("leaf"), F.lit(0).cast("long").alias("distance"), "id"), "chat-paths")
+    # a path visits no message of its conversation twice, so jumps over all of them only go round
+    most = nodes.groupBy("conv").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0] or 0
+    jumps = [jump]
+    while not jumps[-1].isEmpty():
+        if len(jumps) > most.bit_length():
+            raise ValueError("the replies form a cycle")
+        again = jumps[-1].select("conv", F.col("id").alias("up"), F.col("up").alias("top"))
+        jumps.append(stage(jumps[-1].join(again, ["conv", "up"]).select("conv", "id", F.col("top").alias("up")), "chat-links"))
     reach = 1
-    for _ in range(max_rounds):
-        if jump.isEmpty():
-            return found
+    for jump in jumps[:-1]:
         further = found.join(jump, ["conv", "id"]).select("conv", "leaf", (F.col("distance") + reach).alias("distance"), F.col("up").alias("id"))
         found = stage(found.union(further), "chat-paths")
-        again = jump.select("conv", F.col("id").alias("up"), F.col("up").alias("top"))
-        jump = stage(jump.join(again, ["conv", "up"]).select("conv", "id", F.col("top").alias("up")), "chat-links")
         reach *= 2
-    raise ValueError("the replies form a cycle")
+    return found
 
 
 def format_paths(messages: DataFrame, *, branches: int = 1, learn_role: str = "assistant") -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.tables import stage
+from .ids import long_id
 from .memory import per_batch
 from .words import mix, words
 
@@ -162,9 +163,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     of 64 bits on average; ``radius`` 24 lies five standard deviations above, and within it the
     search is exact. Items go to the tasks in groups of about ``chunk`` shingles, one pass each.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL")
+    items = benchmark.select(long_id(benchmark, item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL")
     items = stage(items.mapInArrow(_item_shingles(size), _ITEM), "benchmark-items")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     total = items.agg(F.count("*").alias("n"), F.sum(F.size("grams")).alias("grams")).first()
     chunks = max(1, -(-(total.grams or 0) // chunk))
     df = items.select("size", F.explode("grams.gram").alias("gram")).groupBy("size", "gram").agg(F.count("*").alias("df"))

@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.tables import stage
+from .ids import long_id
 from .memory import per_batch, per_group
 from .words import mix, words
 
@@ -303,7 +304,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     learn from, every word has probability 1. An empty table gives no rows; other columns are ignored.
     """
     flag = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), flag.alias("held"))
+    docs = docs.select(long_id(docs, id_col).alias("id"), F.col(text_col).cast("string").alias("text"), flag.alias("held"))
     blocks = stage(docs.mapInArrow(per_batch(_encode(block_bytes)), _BLOCK), "lm-blocks")
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(1, int(tokens // bucket_tokens))

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm_tables import CLASHING, words
-from scrubwell.llm import toxicity
+from scrubwell.llm import mixing, token_files, toxicity
 from scrubwell.llm.decontaminate import leaks, weighted_similarity
 from scrubwell.llm.lm import Automaton, score_texts
 from scrubwell.llm.mixing import mixing_rates
+from scrubwell.llm.ngram_join import jaccard_components
 from scrubwell.llm.quality import binomial_tail, judge, passing
 
 
@@ -202,6 +203,43 @@ def test_rates_meet_targets_and_equal_numpy(make, spark):
     assert got[900].tokens == 0 and got[901].tokens == 0
 
 
+def test_targets_that_cannot_be_met_are_told(make, spark):
+    """Two domains with the same words cannot be told apart, so one cannot get all."""
+    docs = make(*[(i, "same words in all of them", "ab"[i % 2]) for i in range(60)])
+    marks = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))
+    with pytest.warns(mixing.Unreached):
+        rates = [r.rate for r in mixing_rates(docs, marks, {"a": 1.0, "b": 0.0}).collect()]
+    assert all(np.isfinite(rates)) and min(rates) >= 0
+
+
+def test_many_rates_at_zero(make, spark):
+    docs = make(*[(i, " ".join([("a", "b", "c")[i % 3]] * 20), "abc"[i % 3]) for i in range(90)])
+    marks = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))
+    got = mixing_rates(docs, marks, {"a": 1.0, "b": 0.0, "c": 0.0}).collect()
+    assert sum(r.rate * 20 * r.p_a for r in got) == pytest.approx(1800, rel=1e-3)
+
+
+def test_mixed_rows_follow_their_rates(make, spark):
+    docs = make(*[(i, " ".join(f"{'ab'[i % 2]}{(i + k) % 7}" for k in range(20)), "ab"[i % 2]) for i in range(200)], (3, "another text of one id"), (None, None),
+                extra=["1 AS _times", "2 AS row", "3 AS times", "4 AS p", "5 AS rate"])
+    marks = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))
+    targets = {"a": 0.8, "b": 0.2}
+    rates = mixing_rates(docs, marks, targets)
+    wanted = Counter()
+    for r in rates.select("doc_id", "tokens", mixing.copies(F.col("doc_id"), F.col("rate")).alias("times")).collect():
+        wanted[r.doc_id, r.tokens] += r.times
+    taken = mixing.mixed(docs, marks, targets)
+    assert taken.columns == docs.columns
+    assert Counter((r.doc_id, len((r.text or "").split())) for r in taken.collect()) == +wanted
+
+
+def test_ids_must_be_integers(make):
+    docs = make((1, "a b c")).withColumn("doc_id", F.lit("x"))
+    for run in (lambda: score_texts(docs, held_out=F.lit(False)), lambda: jaccard_components(docs), lambda: token_files.token_digests(docs)):
+        with pytest.raises(TypeError, match="integer"):
+            run()
+
+
 def test_mixing_without_labels_or_rows(make, spark):
     none = spark.createDataFrame([], "id long, domain string")
     assert [r.rate for r in mixing_rates(make((1, "a"), (2, None)), none, {"a": 1.0}).collect()] == [1.0, 1.0]
