@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,6 +129,7 @@ def row_to_rows(row: DataFrame, schema: dict[str, str], entries) -> DataFrame:
 
 
 _local_folder: str | None = None
+_holders: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -152,10 +155,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As ``stage``, with the folder, so that it can be discarded."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for held in _holders:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def holding() -> Iterator[list[str]]:
+    """The folders of all copies staged inside the block, for whoever releases them later."""
+    held: list[str] = []
+    _holders.append(held)
+    try:
+        yield held
+    finally:
+        _holders[:] = [h for h in _holders if h is not held]
+
+
+def release(spark: SparkSession, held: list[str], keep: DataFrame | None = None) -> None:
+    """Discard held copies, but for those that ``keep`` still reads."""
+    if not held:
+        return
+    read = "\n".join(keep.inputFiles()) if keep is not None else ""
+    for path in [p for p in held if p.rsplit("/", 1)[-1] not in read]:
+        discard(spark, path)
+        held.remove(path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Replace the files of a folder by an empty table, through the public writer, which works
     on every file system that Spark writes to."""
