@@ -326,7 +326,13 @@ def clean(df: DataFrame, strategy: str = "leave", analyze_outliers: bool = True,
         stats[c]["filled"] - stats[c]["dates"] for c in kept if stats and kinds[c] == "date")
     log["Inferred column types"] = ", ".join(f"{c}: {k}" for c, k in kinds.items())
 
-    deduped, staged = stage_at(missing.dedupe(plan.apply(df)), "deduped")
+    # converted once and written; without repeated rows this copy is also the de-duplicated one
+    converted, staged = stage_at(plan.apply(df), "deduped")
+    deduped, suspects = converted, missing.suspects(converted) if converted.columns else (None, 0)
+    if suspects[1]:
+        first = staged
+        deduped, staged = stage_at(missing.dedupe(converted, suspects), "deduped")
+        discard(df.sparkSession, first)
     contacts = {c: k for c, k in kinds.items() if k in ("email", "phone")}
     counts = _staged_counts(deduped, contacts)
     rows, gaps = counts["rows"], counts["gaps"]

@@ -1,4 +1,8 @@
 """Goldens of the whole cleaning run."""
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +186,63 @@ def test_alias_groups_count_mixed_spellings(spark):
     rows = [("New York",)] * 5 + [("new-york",)] * 5 + [("Paris",)] * 4 + [("東京",), ("大阪",)]
     found = report(table(spark, rows, "place string")).findings.where("category = 'Category Consistency'").collect()
     assert [r["n"] for r in found] == [1]
+
+
+def exchanges(df):
+    """The text of every exchange of the executed plan, with what it carries."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [block for block in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", block.strip())]
+
+
+def test_distinct_rows_are_not_shuffled(spark):
+    rows = [(i, f"text {i}", None if i % 3 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, note string, x double")
+    assert exchanges(missing.dedupe(df)) == [] and missing.dedupe(df).count() == 300
+    odd = df.union(spark.createDataFrame([(5, "text 5", None), (6, "text 6", 6.0), (7, None, None), (7, None, None), (None, "7", None), (None, None, float("nan")), (None, None, None),
+                                          (8, "zero", 0.0), (8, "zero", -0.0)], df.schema))
+    got = missing.dedupe(odd)
+    assert sorted(map(str, got.collect())) == sorted(map(str, odd.selectExpr("id", "note", "nanvl(x, null) AS x").distinct().collect()))
+    copies = {(r.id, r.note): r.copies for r in missing.duplicate_groups(odd).collect()}
+    assert copies == {(5, "text 5"): 2, (6, "text 6"): 2, (7, None): 2, (None, None): 2, (8, "zero"): 2}
+
+
+def test_many_repeats_take_the_other_way(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 20, "x" * (i % 20)) for i in range(100)], "id long, note string")
+    expected = sorted(map(tuple, missing.dedupe(df).collect()))
+    monkeypatch.setattr(missing, "MOST_DIGESTS", 3)
+    assert sorted(map(tuple, missing.dedupe(df).collect())) == expected == sorted((i, "x" * i) for i in range(20))
+    assert {r.copies for r in missing.duplicate_groups(df).collect()} == {5}
+
+
+def test_digests_that_collide_do_not_merge_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, None)], "id long, note string")
+    monkeypatch.setattr(missing, "_digested", lambda rows: rows.withColumns({c: F.lit(0) for c in missing._DIGEST}))
+    assert sorted(map(str, map(tuple, missing.dedupe(df).collect()))) == sorted(map(str, [(1, "a"), (2, "b"), (3, None)]))
+    assert [(r.id, r.copies) for r in missing.duplicate_groups(df).collect()] == [(2, 2)]
+
+
+@pytest.mark.parametrize("counters", [1, 7, 1 << 14])
+def test_modes_equal_plain_counts(spark, monkeypatch, counters):
+    monkeypatch.setattr(missing, "COUNTERS", counters)
+    rng = random.Random(counters)
+    rows = [(rng.choice(["a", "b", "b", None]), f"free {i}", rng.choice("xy"), None, i % 2 == 0, rng.choice("pqrs") * 100) for i in range(120)]
+    names = ["label", "free", "pair", "empty", "flag", "long"]
+    df = spark.createDataFrame(rows, "label string, free string, pair string, empty string, flag boolean, long string")
+    expected = {}
+    for i, name in enumerate(names):
+        counts = Counter(str(r[i]).lower() if isinstance(r[i], bool) else r[i] for r in rows if r[i] is not None)
+        if counts:
+            tied = [v for v, n in counts.items() if n == max(counts.values())]
+            expected[name] = (min(tied), len(tied))
+    assert {r["column"]: (r["mode"], r["ties"]) for r in missing.modes(df, names).collect()} == expected
+    some = {r["column"]: (r["mode"], r["ties"]) for r in missing.modes(df, names, settle=["flag"]).collect()}
+    assert some == {c: (v if n == 1 or c == "flag" else None, n) for c, (v, n) in expected.items()}
+
+
+def test_no_losing_text_is_moved(spark):
+    """Only counters, digests and the smallest winner of a task are exchanged."""
+    df = spark.createDataFrame([("common",)] * 40 + [(f"rare {i}",) for i in range(200)], "note string")
+    found = missing.modes(df, ["note"], settle=[])
+    carried = [line for block in exchanges(found) for line in block.splitlines() if line.startswith("Input")]
+    assert carried and not any(re.search(r"\bvalue#", line) for line in carried)
+    assert [tuple(r) for r in found.collect()] == [("note", "common", 1)]
