@@ -201,6 +201,14 @@ def outlier_cap(spark, folder):
                          round_half_up(F.col("l_tax"), 4).alias("l_tax"))
 
 
+@check("outlier_cap_counts", f"WITH {_SKB} " + q.union(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER ({_OUT(c)}) AS outliers, {q.half_up(f'any_value({c}_lo)', 6)} AS lower, "
+    f"{q.half_up(f'any_value({c}_hi)', 6)} AS upper FROM sk, b" for c in ("l_orderkey", "l_linenumber", "load", "l_tax")))
+def outlier_cap_counts(spark, folder):
+    return outliers.cap_counts(sk(spark, folder)).select(
+        "column", "outliers", round_half_up(F.col("lower"), 6).alias("lower"), round_half_up(F.col("upper"), 6).alias("upper"))
+
+
 @check("outlier_rows", f"WITH {_SKB} SELECT sk.l_orderkey, sk.l_linenumber, concat_ws(',', "
        + ", ".join(f"CASE WHEN {_OUT(c)} THEN '{c}' END" for c in _SK_COLUMNS)
        + f") AS outlier_columns FROM sk, b WHERE {' OR '.join(map(_OUT, _SK_COLUMNS))}")

@@ -12,7 +12,7 @@ from ..plans.clean import clean
 from ..sources import tables as readers
 from . import fixtures as fx
 from . import sqltext as q
-from .rows import RETAIL_TYPED, _EXPECTED, _anywhere, _discount, mc, retail_orders, retail_typed
+from .rows import MC_COLUMNS, RETAIL_TYPED, _EXPECTED, _anywhere, _discount, mc, retail_orders, retail_typed
 
 CHECKS = {}
 
@@ -67,6 +67,43 @@ def scan_csv(spark, folder):
     return readers.read_csv(spark, path).select("customer_id", "name", "email", "phone", "amount", "notes")
 
 
+def _csv_folder(spark) -> str:
+    return f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+
+
+def _write_csv(rows, path: str, mode: str = "error") -> None:
+    """Cells keep their spaces; all are quoted, so that line breaks may stand in them."""
+    rows.coalesce(1).write.csv(path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="", mode=mode,
+                               ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+_LINES = "'first line' || chr(10) || '\"second\", line' || chr(10) || chr(10) || name || chr(10)"
+
+
+@check("scan_csv_ranges", "SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in MC_COLUMNS if c != "notes")
+       + f", coalesce({_LINES}, '') AS notes FROM {q.MC}")
+def scan_csv_ranges(spark, folder):
+    """Every column of one file whose cells hold line breaks, read in ranges."""
+    path = _csv_folder(spark)
+    _write_csv(mc(spark, folder).withColumn("notes", F.expr(_LINES)), path)
+    return readers.read_csv(spark, path, multi_line=True)
+
+
+_HALVES = ((0, ("customer_id", "name", "status")), (1, ("notes", "customer_id", "name")))
+
+
+@check("scan_csv_headers", " UNION ALL ".join("SELECT " + ", ".join(
+    f"coalesce({c}, '') AS {c}" if c in columns else f"NULL::VARCHAR AS {c}" for c in ("customer_id", "name", "status", "notes"))
+    + f" FROM {q.MC} WHERE coalesce(length(name), 0) % 2 = {half}" for half, columns in _HALVES))
+def scan_csv_headers(spark, folder):
+    """Two files with other columns in another order, read as one table."""
+    path = _csv_folder(spark)
+    for half, columns in _HALVES:
+        rows = mc(spark, folder).where(F.coalesce(F.length("name"), F.lit(0)) % 2 == half)
+        _write_csv(rows.select(*columns), path, mode="append")
+    return readers.read_csv(spark, path, headers="own")
+
+
 _BAD = {"Quantity": "Quantity <= 0", "Unit_Price": "Unit_Price < 0", "Discount": "NOT Discount BETWEEN 0 AND 1",
         "Rating": "NOT Rating BETWEEN 1 AND 5", "Sales": "Sales < 0"}
 _WITHIN = "(SELECT city, state, " + ", ".join(f"CASE WHEN NOT ({b}) THEN {c} END AS {c}" for c, b in _BAD.items()) + f" FROM {RETAIL_TYPED})"

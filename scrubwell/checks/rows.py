@@ -104,6 +104,12 @@ def missing_tokens_basic(spark, folder):
         text.basic_missing_tokens(F.col(c)).alias(c) for c in ("age", "amount", "status")])
 
 
+@check("basic_token_counts", q.union(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER (lower({q.trim(c)}) IN {q.in_list(vocab.BASIC_MISSING_TOKENS)}) AS emptied FROM {q.MC}" for c in MC_COLUMNS))
+def basic_token_counts(spark, folder):
+    return missing.basic_token_counts(mc(spark, folder))
+
+
 @check("text_whitespace", f"SELECT doc_id, {q.collapse('text')} AS clean_text FROM documents")
 def text_whitespace(spark, folder):
     return fx.table(spark, folder, "documents").select("doc_id", text.collapse(F.col("text")).alias("clean_text"))
@@ -189,6 +195,14 @@ def validate_phone_in(spark, folder):
     return validate.validate_phone_ten(mc(spark, folder), "phone").select("customer_id", "phone")
 
 
+@check("contact_counts", q.union(
+    f"SELECT 'Invalid {what} values {ending}' AS action, count({c}) - count({valid}) AS count FROM {q.MC}"
+    for what, c, valid in (("email", "email", _VALID_EMAIL), ("phone", "phone", q.phone_ten("phone")))
+    for ending in ("detected", "converted to missing")))
+def contact_counts(spark, folder):
+    return validate.contact_counts(mc(spark, folder), email="email", phone="phone")
+
+
 @check("semantic_ranges", f"SELECT order_id, CASE WHEN rating BETWEEN 1 AND 5 THEN rating END AS rating, "
        f"CASE WHEN qty >= 0 THEN qty END AS quantity FROM (SELECT order_id, rating, {q.number('quantity')} AS qty FROM {q.MO})")
 def semantic_ranges(spark, folder):

@@ -53,6 +53,32 @@ def clean_table_drop_rows(spark, folder):
     return clean(mc_dup(spark, folder), strategy="drop_rows", analyze_outliers=False).data
 
 
+def _mode(c: str, unique: bool) -> str:
+    """The smallest mode, or the mode only if it is the only one."""
+    pick = "CASE WHEN count(*) = 1 THEN min(v) END" if unique else "min(v)"
+    return (f"(SELECT {pick} FROM (SELECT v, n, max(n) OVER () AS m FROM "
+            f"(SELECT {c} AS v, count(*) AS n FROM typed WHERE {c} IS NOT NULL GROUP BY {c})) WHERE n = m)")
+
+
+_NUMBERS, _TEXTS = ("age", "amount", "conversion_rate"), ("name", "status", "department", "gender", "segment", "notes", "const_col")
+
+
+def _filled(fills: dict[str, str]) -> str:
+    """The cleaned table with gaps filled before the contacts are validated."""
+    return "SELECT * REPLACE (" + ", ".join(f"coalesce({c}, {v}) AS {c}" for c, v in fills.items()) + ") FROM cleaned"
+
+
+@check("clean_table_median_mode", f"WITH {_CLEAN} " + _filled({
+    **{c: f"(SELECT quantile_cont({c}, 0.5) FROM typed)" for c in _NUMBERS}, **{c: _mode(c, True) for c in _TEXTS}, "is_active": _mode("is_active", False)}))
+def clean_table_median_mode(spark, folder):
+    return clean(mc_dup(spark, folder), strategy="median_mode").data
+
+
+@check("clean_table_constant", f"WITH {_CLEAN} " + _filled({**{c: "0.0" for c in _NUMBERS}, **{c: "'Unknown'" for c in _TEXTS}}))
+def clean_table_constant(spark, folder):
+    return clean(mc_dup(spark, folder), strategy="constant").data
+
+
 def _count(sql: str, what: str) -> str:
     return f"SELECT '{what}' AS action, CAST(({sql}) AS VARCHAR) AS result"
 

@@ -24,6 +24,13 @@ def token_changes(df: DataFrame) -> DataFrame:
                        [(F.lit(c), F.col(f"a{i}"), F.col(f"b{i}")) for i, c in enumerate(columns)])
 
 
+def basic_token_counts(df: DataFrame) -> DataFrame:
+    """Per text column, the cells that the basic missing tokens empty. One aggregate."""
+    columns = names.text_columns(df)
+    row = df.agg(F.count(F.lit(1)), *[F.count_if(col(c).isNotNull() & text.basic_missing_tokens(col(c)).isNull()).alias(f"n{i}") for i, c in enumerate(columns)])
+    return row_to_rows(row, {"column": "string", "emptied": "long"}, [(F.lit(c), F.col(f"n{i}")) for i, c in enumerate(columns)])
+
+
 def drop_blank_rows(df: DataFrame) -> DataFrame:
     return nan_to_null(df).na.drop(how="all")
 

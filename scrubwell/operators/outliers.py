@@ -92,7 +92,23 @@ def cap_outliers(df: DataFrame, substring_ids: bool = False) -> DataFrame:
     """Clip measure columns to their fences, as doubles. Bounded and financial columns keep
     their values; NULL stays NULL."""
     df = nan_to_null(df)
-    bounds = iqr_bounds(df, [c for c in names.measure_columns(df, substring_ids) if is_cappable(c)], 5)
+    return clipped(df, cap_bounds(df, substring_ids))
+
+
+def cap_bounds(df: DataFrame, substring_ids: bool = False) -> dict[str, dict]:
+    """Fences of the columns that :func:`cap_outliers` clips."""
+    df = nan_to_null(df)
+    return iqr_bounds(df, [c for c in names.measure_columns(df, substring_ids) if is_cappable(c)], 5)
+
+
+def cap_counts(df: DataFrame, bounds: dict[str, dict] | None = None) -> DataFrame:
+    """(column, outliers, lower, upper): the cells that clipping changes, per clipped column."""
+    df = nan_to_null(df)
+    return count_outside(df, cap_bounds(df) if bounds is None else bounds)
+
+
+def clipped(df: DataFrame, bounds: dict[str, dict]) -> DataFrame:
+    """The table with the columns of ``bounds`` clipped to them."""
     clip = lambda c, b: F.when(col(c).isNotNull(), F.least(F.greatest(
         col(c).cast("double"), F.lit(b["lower"])), F.lit(b["upper"])))
     return df.select(*[clip(c, bounds[c]).alias(c) if c in bounds else col(c) for c in df.columns])

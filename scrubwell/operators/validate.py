@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, text, vocab
-from .tables import col
+from .tables import col, row_to_rows
 
 
 def valid_email(c: Column) -> Column:
@@ -31,6 +31,17 @@ def validate_phone_ten(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, text.phone_ten(col(column)))
 
 
+def contact_counts(df: DataFrame, email: str | None = "Email", phone: str | None = "Phone") -> DataFrame:
+    """(action, count): invalid e-mails and ten-digit phones found, and made missing, as
+    :func:`validate_email` and :func:`validate_phone_ten` do. A column that the table does not have
+    (names are compared exactly) is not listed. One aggregate."""
+    found = {what: checked(col(c)).isNull() & col(c).isNotNull() for what, c, checked in (
+        ("email", email, valid_email), ("phone", phone, text.phone_ten)) if c in df.columns}
+    row = df.agg(F.count(F.lit(1)), *[F.count_if(bad).alias(what) for what, bad in found.items()])
+    return row_to_rows(row, {"action": "string", "count": "long"}, [
+        (F.lit(f"Invalid {what} values {ending}"), F.col(what)) for what in found for ending in ("detected", "converted to missing")])
+
+
 def range_of(name: str) -> tuple | None:
     return vocab.SEMANTIC_RANGES.get(names.column_key(name))
 
