@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from llm_tables import CLASHING, words
 from scrubwell.llm import mixing, token_files, toxicity
-from scrubwell.llm.decontaminate import leaks, weighted_similarity
+from scrubwell.llm.decontaminate import PRINTS, Items, leaks, weighted_similarity
 from scrubwell.llm.lm import Automaton, score_texts
 from scrubwell.llm.mixing import mixing_rates
 from scrubwell.llm.ngram_join import jaccard_components
@@ -174,6 +174,58 @@ def test_leaks_equal_brute_force(make, spark):
     assert chunked == got.keys()
 
 
+def _items(rng, n, length=60, radius=11):
+    rows = [{"item": k, "n_words": length, "size": 5, "grams": [{"gram": int(g), "n": int(rng.integers(1, 4)) if i < 3 else 1}
+             for i, g in enumerate(rng.integers(-2 ** 62, 2 ** 62, length - 4))]} for k in range(n)]
+    weight = {g["gram"] & (1 << 64) - 1: float(rng.uniform(1, 8)) for r in rows for g in r["grams"]}
+    return Items(rows, weight, 8.0, 0.8, radius)
+
+
+def test_hamming_blocks_find_all_within_the_radius_and_little_else():
+    rng = np.random.default_rng(5)
+    items = _items(rng, 400)
+    prints = rng.integers(0, 1 << 16, (300, 4), dtype=np.uint16)
+    for w in range(200):  # half of them lie around an item, at distances up to 20
+        flips = np.packbits(rng.permutation(64) < w // 10).view(np.uint16)
+        prints[w] = items.prints[0][w] ^ flips
+    w, k = items.candidates(prints, 60, 0)
+    distance = np.bitwise_count(prints[:, None] ^ items.prints[0][None]).sum(2)
+    got = set(zip(w.tolist(), k.tolist()))
+    assert set(zip(*(x.tolist() for x in np.nonzero(distance <= 11)))) <= got
+    assert len(got) < 0.02 * distance.size  # four blocks of 137 in 65,536 values: 0.8 %
+    assert items.candidates(prints, 61, 0)[0].size == 0
+
+
+def test_fingerprints_recall_similar_windows():
+    """Windows just above the similarity, found by their fingerprints alone."""
+    rng = np.random.default_rng(6)
+    items, found, near = _items(rng, 300), 0, 0
+    for k, own in enumerate(items.counts):
+        other = dict(own)
+        while True:
+            less = dict(other)
+            less.pop(list(less)[int(rng.integers(len(less)))])
+            less[int(rng.integers(1, 2 ** 62))] = 1
+            if weighted_similarity(less, own, items.weight, items.other) < 0.8:
+                break
+            other = less
+        near += 1
+        grams, counts = np.array(list(other), np.uint64), np.array(list(other.values()))
+        found += any(np.bitwise_count(items.print_of(grams, counts, p)[0] ^ items.prints[p][k]).sum() <= 11 for p in range(PRINTS))
+    assert found >= 0.97 * near
+
+
+def test_leaks_in_a_very_long_repeating_text(make, spark):
+    item = " ".join(words(7, 40, 300))
+    long = " ".join(words(8, 30_000, 300)) + " " + "over and " * 3_000 + item + " " + "over and " * 3_000
+    twice = " ".join([item] + ["tail of it"] * 4)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words)
+           for r in leaks(make((1, long), (2, twice + " x " + twice), (3, "over and " * 50)),
+                          spark.createDataFrame([(1, item), (2, twice), (3, "over and over and over and over")], "item_id long, text string")).collect()}
+    assert got[1, 1] == (1.0, 36_000, 40) and got[1, 3][1:] == (30_000, 7)
+    assert got[2, 2] == (1.0, 0, 52) and got[3, 3] == (1.0, 0, 7) and (3, 1) not in got
+
+
 def test_leaks_of_empty_tables(make, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert leaks(make((1, "a b c")), none).collect() == []
