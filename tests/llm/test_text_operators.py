@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +348,35 @@ def test_toxicity_without_labels_or_rows(make, spark):
     assert toxicity.score_toxicity(make(), none).collect() == []
 
 
+def test_network_equals_plain_loops():
+    """Every window that starts at a word (or at the one empty slot of a text without words), filter by filter."""
+    rng, net = np.random.default_rng(3), toxicity.Network(5)
+    net.bias[:], net.offset = rng.normal(size=len(net.bias)) * 0.1, 0.2
+    (first, ids, offsets), = toxicity.features(pa.array(["One two, THREE four five", "", None, "a", "é ü " * 40, "!!"]))
+    got, tail, at = net.scores(ids, offsets), max(toxicity.WIDTHS) - 1, 0
+    assert first == 0 and [b - a - tail for a, b in zip(offsets, offsets[1:])] == [5, 1, 1, 1, 80, 1]
+    for i, (a, b) in enumerate(zip(offsets, offsets[1:])):
+        x = [sum(net.embedding[j].astype(float) for j in slot) for slot in ids[a:b]]
+        z = net.offset
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                top = max(sum(float(x[t + j] @ net.filters[k][j][:, f]) for j in range(w)) for t in range(len(x) - tail))
+                z += max(top + net.bias[k * toxicity.FILTERS + f], 0) * net.head[k * toxicity.FILTERS + f]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+def test_thresholds_equal_plain_search(spark):
+    rng = random.Random(9)
+    rows = [(lang, round(rng.random(), 3), int(rng.random() < 0.4)) for lang in "ab" for _ in range(200)] + [("c", 0.5, 1)]
+    got = {r.language: r.threshold for r in toxicity.thresholds(spark.createDataFrame(rows, "language string, score double, label int"), 0.3).collect()}
+    def f1(lang, cut):
+        taken = [y for l, s, y in rows if l == lang and math.floor(s * 100) >= cut]
+        return 2 * sum(taken) / (len(taken) + sum(y for l, _, y in rows if l == lang))
+    assert got.keys() == {"a", "b"}
+    for lang, threshold in got.items():
+        assert f1(lang, round(threshold * 100)) == pytest.approx(max(f1(lang, cut) for cut in range(100)))
+
+
 def test_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     texts = [rng.integers(0, 50, (int(rng.integers(3, 9)), len(toxicity.STEMS))).astype(np.int32) for _ in range(40)]
