@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -43,7 +44,7 @@ class Pieces:
     across these places, so encoding the pieces gives the ids of the whole text. Texts with other
     white space, or with the cut mark or a special token in them, are encoded as they are."""
 
-    KEPT = 250_000  # pieces whose ids are remembered from shard to shard
+    KEPT = 1_000_000  # pieces whose ids are remembered from shard to shard (some 50 bytes each)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,11 +54,15 @@ class Pieces:
         self.space_led = np.zeros(max(vocabulary.values()) + 1, bool)
         self.space_led[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # a space in byte-level form
         self.tails = {c: int(self._ids([c])[0][0]) for c in ".,"}
-        self._forget()
+        self.keys, self.places = np.zeros((2, 0), np.uint64), np.zeros(0, np.int64)
+        self.flat, self.lengths, self.again = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _forget(self):
-        self.keys, self.places = np.zeros((2, 0), np.uint64), np.zeros(0, np.int64)
-        self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        """Forget the pieces that no shard has met again since the last time."""
+        stay = self.again[self.places]
+        self.keys, self.places = self.keys[:, stay], (np.cumsum(self.again) - 1)[self.places[stay]]
+        self.flat, self.lengths = self.flat[np.repeat(self.again, self.lengths)], self.lengths[self.again]
+        self.again = np.zeros(len(self.lengths), bool)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids and offsets of the distinct pieces; piece numbers and offsets of the texts."""
@@ -110,7 +115,9 @@ class Pieces:
         flat, lengths = self._encoded(texts.take(pa.array(new)))
         place = np.empty(len(texts), np.int64)
         place[found] = self.places[at[found]]
+        self.again[place[found]] = True
         place[new] = len(self.lengths) + np.arange(len(new))
+        self.again = np.concatenate((self.again, np.zeros(len(new), bool)))
         self.flat, self.lengths = np.concatenate((self.flat, flat)), np.concatenate((self.lengths, lengths))
         keys, places = np.concatenate((self.keys, keys[:, new]), 1), np.concatenate((self.places, place[new]))
         order = np.argsort(keys[0], kind="stable")
@@ -149,60 +156,74 @@ class Pieces:
         return np.concatenate(flat), np.concatenate(lengths)
 
 
-SLOTS = 1 << 20
+@lru_cache(maxsize=1)
+def pieces_of(path: str) -> Pieces:
+    """One encoder a Python worker, so that its memory also serves the worker's later tasks."""
+    return Pieces(path)
+
+
+#: most bits of a pair's hash slot
+BITS = 20
 #: odd multipliers of the pair hash, another two each round
 _STIR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
-def _replace(seq: np.ndarray, joined: np.ndarray | None, weight: np.ndarray | None, rules: list, next_symbol: int, least: int, turn: int):
-    """One round: replace all frequent neighbours (where ``joined`` allows; None: everywhere) that no
-    more frequent pair overlaps by new symbols. Pairs are counted by hash slots, each for the pair
-    that wrote it last; others of its slot get their turn under the next round's hash. Where that
-    finds no frequent pair, all pairs of full slots are counted by themselves. Returns the
-    sequence, the mask of symbols that remain and the next free symbol; the mask is None if no pair
-    occurs ``least`` times."""
-    left, right = seq[:-1].view(np.uint32), seq[1:].view(np.uint32)
-    slot = (left * _STIR[turn % 5] + right * _STIR[(turn + 1 + turn // 5 % 4) % 5]) >> np.uint32(12)
-    counts = np.bincount(slot, weights=None if joined is None else weight * joined, minlength=SLOTS)
-    often = counts >= least
-    maybe = np.flatnonzero(often[slot] if joined is None else often[slot] & joined)
+def _replace(seq: np.ndarray, active: np.ndarray, weight: np.ndarray | None, rules: list, next_symbol: int, least: int, turn: int):
+    """One round: replace all frequent neighbours that no more frequent pair overlaps by new symbols.
+    ``active`` holds the places of all pairs that may be frequent. A pair of old symbols only gets
+    rarer, so what is rare once is left out for good, and a round costs what the last one changed.
+    Pairs are counted by hash slots, each for the pair that wrote it last; others of its slot get
+    their turn under the next round's hash. Where that finds no frequent pair, all pairs of full
+    slots are counted by themselves. Returns the sequence, the active places, the mask of symbols
+    that remain and the next free symbol; the mask is None if no pair occurs ``least`` times."""
+    bits = min(BITS, len(active).bit_length() + 1)
+    slots = 1 << bits
+    left, right = seq[active].view(np.uint32), seq[active + 1].view(np.uint32)
+    slot = (left * _STIR[turn % 5] + right * _STIR[(turn + 1 + turn // 5 % 4) % 5]) >> np.uint32(32 - bits)
+    maybe = np.flatnonzero((np.bincount(slot, weights=weight, minlength=slots) >= least)[slot])
     if not len(maybe):
-        return seq, None, next_symbol
-    own, pairs = slot[maybe], left[maybe].astype(np.int64) << 32 | right[maybe]
-    weights = None if weight is None else weight[maybe]
-    holder = np.zeros(SLOTS, np.int64)
-    holder[own] = pairs
-    held = np.flatnonzero(holder[own] == pairs)
-    exact = np.bincount(own[held], weights=None if weight is None else weights[held], minlength=SLOTS)
+        return seq, active, None, next_symbol
+    active, own, pairs = active[maybe], slot[maybe], left[maybe].astype(np.int64) << 32 | right[maybe]
+    weight = None if weight is None else weight[maybe]
+    holder = np.zeros(slots, np.int64)
+
+    def hold(which):
+        holder[own[which]] = pairs[which]
+        held = np.flatnonzero(holder[own] == pairs)
+        return held, np.bincount(own[held], weights=None if weight is None else weight[held], minlength=slots)
+
+    held, exact = hold(slice(None))
     if not (exact >= least).any():
-        every, where, inverse = np.unique(pairs, return_index=True, return_inverse=True)
-        frequent = np.flatnonzero(np.bincount(inverse, weights=weights) >= least)
+        _, where, inverse = np.unique(pairs, return_index=True, return_inverse=True)
+        frequent = np.flatnonzero(np.bincount(inverse, weights=weight) >= least)
         if not len(frequent):
-            return seq, None, next_symbol
-        holder[own[where[frequent]]] = every[frequent]
-        held = np.flatnonzero(holder[own] == pairs)
-        exact = np.bincount(own[held], weights=None if weight is None else weights[held], minlength=SLOTS)
-    own, maybe = own[held], maybe[held]
-    rank = np.where(exact >= least, exact.astype(np.int64) * SLOTS + np.arange(SLOTS), 0)  # larger is more frequent
-    strength = np.zeros(len(seq) + 1, np.int64)  # of the pair that starts at i - 1
-    strength[maybe + 1] = rank[own]
-    here, before, after = strength[1:-1], strength[:-2], strength[2:]
-    at = np.flatnonzero((here > 0) & (here >= before) & (here >= after))
-    begin = at[~((here[at] == before[at]) & (before[at] > 0))]
-    first = begin[np.maximum(np.searchsorted(begin, at, "right") - 1, 0)] if len(begin) else at
-    take = at[(at - first) % 2 == 0]  # every other one in a run of one pair
-    take = take[np.concatenate(([True], np.diff(take) > 1))]
-    of = slot[take]
-    number = np.zeros(SLOTS, np.int64)
+            return seq, active, None, next_symbol
+        held, exact = hold(where[frequent])
+    at, of = active[held], own[held]
+    rank = np.where(exact >= least, exact.astype(np.int64) << bits | np.arange(slots), 0)[of]  # larger is more frequent
+    beside = np.diff(at) == 1
+    before, after = np.zeros_like(rank), np.zeros_like(rank)
+    before[1:], after[:-1] = np.where(beside, rank[:-1], 0), np.where(beside, rank[1:], 0)
+    best = np.flatnonzero((rank > 0) & (rank >= before) & (rank >= after))
+    at, of, again = at[best], of[best], rank[best] == before[best]
+    first = np.maximum.accumulate(np.where(again, -1, at))
+    odd = (at - first) % 2 == 0  # every other one in a run of one pair
+    take, of = at[odd], of[odd]
+    apart = np.concatenate(([True], np.diff(take) > 1))
+    take, of = take[apart], of[apart]
+    number = np.zeros(slots, np.int32)
     number[of] = 1
     used = np.flatnonzero(number)
     number[used] = next_symbol + np.arange(len(used))
     rules.append(np.stack([holder[used] >> 32, holder[used] & 0xFFFFFFFF], 1))
-    out = seq.copy()
-    out[take] = number[of]
-    keep = np.ones(len(seq), bool)
+    seq[take] = number[of]
+    keep, mark = np.ones(len(seq), bool), np.zeros(len(seq), bool)
     keep[take + 1] = False
-    return out[keep], keep, next_symbol + len(used)
+    mark[active], mark[take] = True, True
+    seq, mark = seq[keep], mark[keep]
+    changed = take - np.arange(len(take))
+    mark[np.maximum(changed - 1, 0)], mark[-1] = True, False
+    return seq, np.flatnonzero(mark), keep, next_symbol + len(used)
 
 
 def compress(ids: np.ndarray, at: np.ndarray, numbers: np.ndarray, *, first_symbol: int, least: int = 16, rounds: int | None = None):
@@ -212,9 +233,10 @@ def compress(ids: np.ndarray, at: np.ndarray, numbers: np.ndarray, *, first_symb
     rules, symbol, ids = [], first_symbol, ids.astype(np.int32)
     sizes = np.diff(at)
     weight = np.bincount(numbers, minlength=len(sizes))
-    piece, turn = np.repeat(np.arange(len(sizes)), sizes), 0
-    while len(ids) > 1 and turn != rounds:
-        ids, keep, symbol = _replace(ids, piece[1:] == piece[:-1], weight[piece[:-1]], rules, symbol, least, turn)
+    piece, turn, active = np.repeat(np.arange(len(sizes)), sizes), 0, np.arange(max(len(ids) - 1, 0))
+    while turn != rounds:
+        active = active[piece[active] == piece[active + 1]]
+        ids, active, keep, symbol = _replace(ids, active, weight[piece[active]], rules, symbol, least, turn)
         if keep is None:
             break
         piece, turn = piece[keep], turn + 1
@@ -223,9 +245,9 @@ def compress(ids: np.ndarray, at: np.ndarray, numbers: np.ndarray, *, first_symb
     n = sizes[numbers]
     run = np.cumsum(n) - n
     seq = ids[np.arange(int(n.sum())) + np.repeat(start[numbers] - run, n)]
-    turn = 0
-    while len(seq) > 1 and turn != rounds:
-        seq, keep, symbol = _replace(seq, None, None, rules, symbol, least, turn)
+    turn, active = 0, np.arange(max(len(seq) - 1, 0))
+    while turn != rounds:
+        seq, active, keep, symbol = _replace(seq, active, None, rules, symbol, least, turn)
         if keep is None:
             break
         turn += 1
@@ -325,7 +347,7 @@ def _write(path: str, shard_bytes: int, least: int, rounds: int | None):
                         ("n_symbols", pa.int64()), ("payload", pa.binary())])
 
     def run(batches):
-        pieces, shard = Pieces(path), 0
+        pieces, shard = pieces_of(path), 0
         first_symbol = pieces.tokenizer.get_vocab_size(with_added_tokens=True)
         for batch in batches:
             keys = batch.column(0).cast(pa.int64())

@@ -2,6 +2,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,34 @@ def test_no_frequent_pair_is_left():
         assert max(taken.values()) < least
 
 
+def test_pieces_that_come_again_are_remembered_and_others_forgotten(pieces, monkeypatch):
+    small = token_files.Pieces(token_files.default_tokenizer())
+    monkeypatch.setattr(small, "KEPT", 3)
+    whole = lambda texts: [pieces.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for texts in (["a bird sang, low", "a bird"], ["a bird flew 12 miles."], ["the bird sang"], ["", "other words came up"], ["a bird sang, low"]):
+        ids, at, numbers, offsets = small.encode(pa.array(texts))
+        flat = [[i for k in numbers[a:b] for i in ids[at[k]:at[k + 1]]] for a, b in zip(offsets[:-1], offsets[1:])]
+        assert flat == whole(texts)
+        assert len(small.keys[0]) == len(small.places) == len(small.lengths) == len(small.again)
+        assert small.lengths.sum() == len(small.flat)
+    assert len(small.lengths) < 12
+
+
+def test_rounds_leave_no_frequent_pair_and_decode_exactly():
+    """Runs of one symbol, hot and rare pieces: all pairs of the result are rarer than ``least``, counted plainly."""
+    rng = np.random.default_rng(5)
+    for trial in range(20):
+        sizes = rng.integers(1, 9, 40)
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        ids, numbers = rng.integers(1, 4 if trial % 2 else 30, at[-1]), rng.zipf(1.5, 3000) % 40
+        full = np.concatenate([ids[at[k]:at[k + 1]] for k in numbers])
+        rules, seq = token_files.compress(ids, at, numbers, first_symbol=100)
+        assert all(n < 16 for n in Counter(zip(seq[:-1].tolist(), seq[1:].tolist())).values())
+        shard = token_files.Shard(token_files.write_shard(np.array([1]), np.array([len(full)]), 100, rules, seq))
+        assert np.array_equal(shard.ids(), full)
+        assert np.array_equal(shard.ids(100, 900), full[100:900])
+
+
 def test_no_documents(make):
     assert token_files.token_digests(make()).collect() == []
 
