@@ -126,28 +126,77 @@ def shapes(part: Words) -> np.ndarray:
     return out
 
 
+#: a word is only left undecoded if O leads by more than rounding can change
+_MARGIN = 1e-2
+
+
+def _ends(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word of every text that has words."""
+    some = np.diff(offsets) > 0
+    return offsets[:-1][some], offsets[1:][some] - 1
+
+
 class Field:
     """Label scores of a shape here, before and after; scores of neighbouring labels."""
 
     def __init__(self, here, before, after, pairs):
         self.here, self.before, self.after, self.pairs = here, before, after, pairs
 
-    def scores(self, shape: np.ndarray, offsets: np.ndarray, at: np.ndarray, runs: np.ndarray) -> np.ndarray:
-        """[word, label] for the words ``at`` of texts given by ``offsets``. ``runs`` parts these
-        words into runs of neighbours; the words beside a run are O."""
-        first, last = np.zeros(len(shape) + 1, bool), np.zeros(len(shape) + 1, bool)
-        first[offsets[:-1]], last[np.maximum(offsets[1:] - 1, 0)] = True, True
-        out = self.here[shape[at]]
-        has = ~first[at]
-        out[has] += self.before[shape[at[has] - 1]]
-        has = ~last[at]
-        out[has] += self.after[shape[at[has] + 1]]
-        begin, end = runs[:-1], runs[1:] - 1
-        begin, end = begin[~first[at[begin]]], end[~last[at[end]]]
-        out[begin] += self.pairs[0]
-        out[end] += self.pairs[:, 0]
+    def scores(self, shape: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """[label, word]: how far a label is above O at a word, by its own shape and its neighbours'."""
+        here, before, after = ((x - x[:, :1]).T for x in (self.here, self.before, self.after))
+        first, last = _ends(offsets)
+        out = here[:, shape]
+        side = before[:, shape[:-1]]
+        side[:, first[1:] - 1] = 0
+        out[:, 1:] += side
+        side = after[:, shape[1:]]
+        side[:, last[:-1]] = 0
+        out[:, :-1] += side
         return out
 
+    def undecided(self, score: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The words that need decoding; for all others a bound proves that the best sequence says O.
+
+        A label's lead over O from the left is at most its score plus the most that its link to any
+        label before is above O's link to the same label; or, following O back one more word, the most
+        over the labels before of their own lead plus the link, less the link from O to O. The same holds
+        from the right. Where both leads together are below zero for every label, O is best."""
+        pairs, k = self.pairs, len(self.pairs)
+        left, right = (pairs - pairs[:, :1]).max(0), (pairs - pairs[:1]).max(1)
+        first, last = _ends(offsets)
+        begun, ended = score + left[:, None], score + right[:, None]
+        begun[:, first], ended[:, last] = score[:, first], score[:, last]
+        open_ = np.zeros(score.shape[1], bool)
+        for label in range(1, k):
+            lead = np.full(score.shape[1], left[label])
+            lead[1:] = np.minimum(lead[1:], (begun[:, :-1] + pairs[:, label, None]).max(0) - pairs[0, 0])
+            lead[first] = 0
+            open_side = np.full(score.shape[1], right[label])
+            open_side[:-1] = np.minimum(open_side[:-1], (ended[:, 1:] + pairs[label][:, None]).max(0) - pairs[0, 0])
+            open_side[last] = 0
+            open_ |= score[label] + lead + open_side > -_MARGIN
+        return np.flatnonzero(open_)
+
+    def labels(self, shape: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words whose best label is not O, and these labels, for whole texts: Viterbi over the runs
+        of undecided words, between words that are O."""
+        if not len(shape):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        score = self.scores(shape, offsets)
+        at = self.undecided(score, offsets)
+        if not len(at):
+            return at, np.zeros(0, np.uint8)
+        first, last = _ends(offsets)
+        begins, ends = np.isin(at, first), np.isin(at, last)
+        new = np.concatenate(([True], np.diff(at) > 1)) | begins
+        runs = np.append(np.flatnonzero(new), len(at))
+        score = score[:, at].T.copy()
+        score[new & ~begins] += self.pairs[0]
+        score[np.append(new[1:], True) & ~ends] += self.pairs[:, 0]
+        found = self.decode(score, runs)
+        return at[found > 0], found[found > 0]
+
     def decode(self, score: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The best label sequence of every run; all runs advance together."""
         lengths = np.diff(offsets)
@@ -322,10 +371,9 @@ def _joined(spans) -> str:
 class Finder:
     def __init__(self, field: Field):
         self.field = field
-        # A word without digit, @, = and : is O, whatever stands beside it. So the best labels of a
-        # text fall apart into those of its runs of other words, and only these are decoded.
+        # every match of a fixed pattern holds a digit or an @
         value = dict(zip((name for name, _ in _PARTS), np.unravel_index(np.arange(SHAPES), [n for _, n in _PARTS], order="F")))
-        self.plain = (value["digits"] == 0) & (value["at"] == 0) & (value["equals"] == 0)
+        self.telling = (value["digits"] > 0) | (value["at"] > 0)
 
     def run(self, batches):
         empty = hashlib.sha256(b"").hexdigest()
@@ -334,21 +382,16 @@ class Finder:
             counts, digest, joined = np.zeros((4, n), np.int64), [empty] * n, [""] * n
             for part in words(batch.column(1)):
                 shape = shapes(part)
-                odd = np.flatnonzero(~self.plain[shape])
-                if not len(odd):
-                    continue
-                text_of = np.searchsorted(part.offsets, odd, "right") - 1
-                new = np.concatenate(([True], (np.diff(odd) > 1) | (np.diff(text_of) > 0)))
-                runs = np.append(np.flatnonzero(new), len(odd))
-                labels = self.field.decode(self.field.scores(shape, part.offsets, odd, runs), runs)
-                take, cuts = np.unique(text_of, return_index=True)
-                cuts = np.append(cuts, len(odd))
+                found, label = self.field.labels(shape, part.offsets)
+                text_of = np.searchsorted(part.offsets, found, "right") - 1
+                take = np.union1d(text_of, np.searchsorted(part.offsets, np.flatnonzero(self.telling[shape]), "right") - 1)
+                cuts = np.searchsorted(text_of, np.append(take, len(part.offsets)))
                 column = batch.column(1).take(pa.array(take + part.first)).to_pylist()
                 for k, (i, text) in enumerate(zip(take, column)):
                     text = text or ""
                     base = base_spans(text)
-                    marked = cuts[k] + np.flatnonzero(labels[cuts[k]:cuts[k + 1]])
-                    extra = self.added(text, part, part.text_at[i], odd[marked], labels[marked], base) if len(marked) else []
+                    marked = slice(cuts[k], cuts[k + 1])
+                    extra = self.added(text, part, part.text_at[i], found[marked], label[marked], base) if cuts[k] < cuts[k + 1] else []
                     row = part.first + i
                     for j in range(4):
                         counts[j, row] = sum(s[0] == KINDS[j] for s in base)
@@ -391,7 +434,8 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     The counts and the digest are those of the fixed patterns; ``spans`` lists these and the
     field's as kind:start:end (code points, end exclusive), by kind, then start. Null texts are
     empty and have no spans; repeated rows are treated alike; an empty table gives no rows; other
-    columns are ignored. A word without digit, @, = and : never belongs to a span of the field.
+    columns are ignored. The field labels all words of a text by its best sequence; words that a
+    bound proves to be O need no decoding.
     A run of words of one kind may hold several spans, of at most 19 words (phones and secrets 15,
     e-mails one).
     """
