@@ -1,7 +1,8 @@
 """Category labels: histogram, variant rules, dictionary and its application.
 
 The only pass over the data is a (column, value) count of low-cardinality text columns. Every
-rule then works on that bounded dictionary (at most 200 labels per column).
+rule then works on that bounded dictionary (at most 200 labels per column unless ``LabelLimits``
+says otherwise; thousands are fine).
 """
 from __future__ import annotations
 
@@ -167,30 +168,42 @@ def rule_verdicts(counts: DataFrame, columns: list[str], limits: LabelLimits = D
 
 
 def _spelling_repairer(limit: int, min_length: int, min_ratio: float):
-    """Spelling verdicts for the labels of one column. A rare label takes the resolved form of
-    a similar label with the same first letter and at least twice the count; going from frequent
+    """Spelling verdicts for the labels of one column that share their first letter. A rare label
+    takes the resolved form of a similar label with at least twice the count; going from frequent
     to rare, the model label is always settled first. Columns above the limit have no verdicts.
+
+    The characters that two labels share, in whatever order, bound their ratio from above. Models
+    are compared from the highest bound down, until no bound reaches the best ratio found, so
+    that few ratios are worked out and the verdicts are those of all pairs.
     The function carries its constants along, so executors need no copy of this package."""
     def repair(labels):
         from difflib import SequenceMatcher
 
+        import numpy as np
+
         labels = labels.sort_values(["cnt", "value"], ascending=[False, True])
-        if not labels["plain"].iloc[0] or len(labels) > limit:
+        if not labels["plain"].iloc[0] or labels["distinct"].iloc[0] > limit:
             return labels.assign(k9=None)
-        settled, verdicts, seen = {}, [], []
-        for value, key, cnt, resolved in zip(
-                labels["value"], labels["format_key"], labels["cnt"], labels["resolved"]):
+        keys, counts, resolved = labels["format_key"].tolist(), labels["cnt"].to_numpy(), labels["resolved"].tolist()
+        lengths = np.array([len(k) for k in keys])
+        letters = {c: i for i, c in enumerate(sorted(set("".join(keys))))}
+        held = np.zeros((len(keys), len(letters)), np.int32)
+        for i, key in enumerate(keys):
+            np.add.at(held[i], [letters[c] for c in key], 1)
+        settled, verdicts = [], []
+        for i, key in enumerate(keys):
             best, best_ratio = None, 0.0
             if len(key) >= min_length:
-                for other, other_key, other_cnt in seen:
-                    if other_cnt >= max(2, 2 * cnt) and other_key[:1] == key[0]:
-                        ratio = SequenceMatcher(None, key, other_key).ratio()
-                        if ratio > best_ratio:
-                            best, best_ratio = other, ratio
-            verdict = settled[best] if best is not None and best_ratio >= min_ratio else None
-            settled[value] = resolved if verdict is None else verdict
-            verdicts.append(verdict)
-            seen.append((value, key, cnt))
+                models = np.searchsorted(-counts, -max(2, 2 * counts[i]), "right")
+                most = 2.0 * np.minimum(held[:models], held[i]).sum(1) / (lengths[:models] + lengths[i])
+                for j in np.argsort(-most, kind="stable"):
+                    if most[j] < max(min_ratio, best_ratio) - 1e-9:
+                        break
+                    ratio = SequenceMatcher(None, key, keys[j]).ratio()
+                    if ratio > best_ratio or best is not None and ratio == best_ratio and j < best:
+                        best, best_ratio = j, ratio
+            verdicts.append(settled[best] if best is not None and best_ratio >= min_ratio else None)
+            settled.append(resolved[i] if verdicts[i] is None else verdicts[i])
         return labels.assign(k9=verdicts)
     return repair
 
@@ -202,9 +215,10 @@ def label_dictionary(df: DataFrame, columns=None, limits: LabelLimits = DEFAULT_
 
 def finish_dictionary(groups: DataFrame, limits: LabelLimits = DEFAULT_LIMITS) -> DataFrame:
     """Spelling repair and final title case. The rows of a column already share a partition, so
-    the grouped step adds no shuffle; a group is one column's labels, whose number is limited."""
+    the grouped step adds no shuffle; a group is one column's labels of one first letter, whose
+    number is limited."""
     marked = groups.withColumn("plain", ~F.col("semantic") & ~F.col("gender") & F.col("hinted"))
-    repaired = marked.groupBy("column").applyInPandas(
+    repaired = marked.groupBy("column", F.left("format_key", F.lit(1))).applyInPandas(
         _spelling_repairer(limits.spelling, vocab.SPELLING_MIN_LENGTH, vocab.SPELLING_RATIO),
         T.StructType(marked.schema.fields + [T.StructField("k9", T.StringType())]))
     label = F.coalesce("k9", "resolved")
@@ -214,7 +228,7 @@ def finish_dictionary(groups: DataFrame, limits: LabelLimits = DEFAULT_LIMITS) -
 
 
 def as_mapping(dictionary: DataFrame) -> dict[str, dict[str, str]]:
-    """The labels that change, per column; bounded by 200 per column."""
+    """The labels that change, per column; bounded by the limits."""
     mapping: dict[str, dict[str, str]] = {}
     changes = dictionary.where(F.col("value") != F.col("canonical"))
     for r in changes.select("column", "value", "canonical").collect():

@@ -1,7 +1,11 @@
 """Edge cases of names, text, numbers, dates and labels."""
 import datetime as dt
+import hashlib
+import random
+from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +110,59 @@ def test_spelling_repair_follows_the_frequent_label(spark):
     assert got == {"engineering": "Engineering", "enginering": "Engineering", "enginerin": "Engineering", "sales": "Sales"}
 
 
+def all_pairs_verdicts(rows):
+    """Spelling verdicts by comparing a label with every more frequent one; rows are (value, key, cnt, resolved)."""
+    settled, verdicts, seen = {}, {}, []
+    for value, key, cnt, resolved in sorted(rows, key=lambda r: (-r[2], r[0])):
+        best, best_ratio = None, 0.0
+        for other, other_key, other_cnt in seen if len(key) >= 4 else ():
+            if other_cnt >= max(2, 2 * cnt) and other_key[:1] == key[0]:
+                ratio = SequenceMatcher(None, key, other_key).ratio()
+                if ratio > best_ratio:
+                    best, best_ratio = other, ratio
+        verdicts[value] = settled[best] if best is not None and best_ratio >= 0.84 else None
+        settled[value] = resolved if verdicts[value] is None else verdicts[value]
+        seen.append((value, key, cnt))
+    return verdicts
+
+
+def misspelled_labels(n, seed, letters="aeinrst", first="pq"):
+    """n labels of which about half are others with a letter lost, doubled or changed."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(first) + "".join(rng.choices(letters, k=rng.randint(2, 12)))
+    found = {word(): rng.randint(5, 40) for _ in range(n // 2)}
+    roots = list(found)
+    while len(found) < n:
+        root, i = rng.choice(roots), 0
+        i = rng.randrange(1, len(root))
+        found.setdefault(rng.choice([root[:i] + root[i + 1:], root[:i] + root[i - 1:], root[:i] + rng.choice(letters) + root[i + 1:]]), rng.randint(1, 9))
+    return found
+
+
+@pytest.mark.parametrize("seed, letters", [(1, "aeinrst"), (2, "ab"), (3, "aeiou\u00e9\u4eac")])
+def test_spelling_verdicts_are_those_of_all_pairs(spark, seed, letters):
+    found = misspelled_labels(300, seed, letters)
+    rows = [(label,) for label, n in found.items() for _ in range(n)]
+    wide = labels.LabelLimits(plain=5_000, hinted=5_000, spelling=5_000)
+    got = labels.label_dictionary(spark.createDataFrame(rows, "division string"), limits=wide).select(
+        "value", "format_key", "cnt", "resolved", "k9").collect()
+    assert len(got) == len(found)
+    expected = all_pairs_verdicts([tuple(r)[:4] for r in got])
+    assert {r.value: r.k9 for r in got} == expected
+    assert sum(v is not None for v in expected.values()) > 20
+
+
+def test_spelling_of_five_thousand_labels(spark):
+    """All under one first letter; every planted misspelling goes to its model, and no other label changes."""
+    roots = [f"p{hashlib.md5(str(i).encode()).hexdigest()[:16]}" for i in range(4_000)]  # far from each other
+    table = pa.table({"division": [w for w in roots for _ in range(2)] + [w[:8] + w[9:] for w in roots[:1_000]]})
+    wide = labels.LabelLimits(plain=5_000, hinted=5_000, spelling=5_000)
+    got = labels.label_dictionary(spark.createDataFrame(table), limits=wide).where("k9 IS NOT NULL").select("value", "k9").collect()
+    assert {r.value: r.k9 for r in got} == {w[:8] + w[9:]: w for w in roots[:1_000]}
+    narrow = labels.LabelLimits(plain=5_000, hinted=5_000, spelling=4_999)
+    assert labels.label_dictionary(spark.createDataFrame(table), limits=narrow).where("k9 IS NOT NULL").count() == 0
+
+
 def test_free_text_is_left_alone(spark):
     df = spark.createDataFrame([(f"note {i}",) for i in range(1500)], "remark string")
     assert labels.label_dictionary(df).count() == 0
