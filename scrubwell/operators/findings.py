@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text, vocab
 from .labels import alias_groups
 from .outliers import outliers
-from .profile import column_stats, duplicate_count, profile_snapshot, quality, round_half_up
+from .profile import Measures, column_stats, duplicate_count, measure, profile_snapshot, round_half_up
 from .tables import col, literal_table, nan_to_null
 
 _COUNT = "%,d"
@@ -152,12 +152,13 @@ class Report:
     snapshot: DataFrame
 
 
-def findings(df: DataFrame) -> DataFrame:
-    """All findings of a table, without the guidance texts."""
+def findings(df: DataFrame, measured: Measures | None = None) -> DataFrame:
+    """All findings of a table, without the guidance texts. What is measured already is not
+    computed again."""
     df = nan_to_null(df)
-    stats = column_stats(df)
+    stats, duplicates = (column_stats(df), duplicate_count(df)) if measured is None else (measured.columns, measured.quality)
     return reduce(DataFrame.unionByName, [
-        column_findings(stats, df.columns), duplicate_findings(duplicate_count(df)), cell_findings(df),
+        column_findings(stats, df.columns), duplicate_findings(duplicates), cell_findings(df),
         outlier_findings(outliers(df)), alias_findings(alias_groups(df))])
 
 
@@ -170,9 +171,10 @@ def summarize(found: DataFrame) -> DataFrame:
 def report(df: DataFrame) -> Report:
     """Findings with guidance in order (``seq``; missing values first, most first), one summary row
     (size, missing cells, duplicate rows, findings per severity), general advice and the profile
-    snapshot. The findings are a few rows per column; they are computed once and kept as a small
-    literal table."""
-    rows = [tuple(r) for r in findings(df).select(*_FINDING).collect()]
+    snapshot. Column statistics and row groups are computed once for all of these; the findings are
+    a few rows per column, kept as a small literal table."""
+    measured = measure(df)
+    rows = [tuple(r) for r in findings(df, measured).select(*_FINDING).collect()]
     order = list(_MESSAGES)
     place = {"missing_contact": 0, "missing_data": 0, **{rule: i for i, rule in enumerate(order)}}
     rows.sort(key=lambda r: (place[r[0]], -r[3] if place[r[0]] == 0 else 0, df.columns.index(r[2]) if r[2] in df.columns else -1))
@@ -180,6 +182,6 @@ def report(df: DataFrame) -> Report:
     advice = vocab.REVIEW_ADVICE if rows else (vocab.NO_FINDINGS_ADVICE,)
     counts = {s.lower(): sum(r[1] == s for r in rows) for s in SEVERITIES}
     totals = {"issue_count": len(rows), **counts}
-    summary = quality(df).select("rows", "columns", "missing_cells", "duplicate_rows",
+    summary = measured.quality.select("rows", "columns", "missing_cells", "duplicate_rows",
                                  *[F.lit(n).cast("long").alias(c) for c, n in totals.items()])
-    return Report(with_guidance(found), summary, advice, profile_snapshot(df))
+    return Report(with_guidance(found), summary, advice, profile_snapshot(df, stats=measured.columns))

@@ -1,6 +1,7 @@
 """Profile, missing and duplicate counts, quality score, before/after summary."""
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -74,10 +75,11 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         _percent(missing, F.col("rows")).alias("missing_pct"), "distinct")
 
 
-def profile_snapshot(df: DataFrame, samples: bool = False) -> DataFrame:
+def profile_snapshot(df: DataFrame, samples: bool = False, stats: DataFrame | None = None) -> DataFrame:
     """Profile plus min, max and mean of numeric columns. Raw values stay out unless
-    ``samples=True`` asks for the three smallest of each non-numeric column."""
-    stats = column_stats(df)
+    ``samples=True`` asks for the three smallest of each non-numeric column. ``stats`` are the
+    column statistics where these are known."""
+    stats = column_stats(df) if stats is None else stats
     missing = F.col("rows") - F.col("non_null")
     out = stats.select(
         "column", "dtype", missing.alias("missing"),
@@ -184,6 +186,23 @@ def quality(df: DataFrame) -> DataFrame:
         status(F.col("quality_score")).alias("quality_status"))
 
 
+@dataclass(frozen=True)
+class Measures:
+    """What several reports read of one table: its column statistics and its ``quality`` row."""
+    columns: DataFrame
+    quality: DataFrame
+
+
+def measure(df: DataFrame) -> Measures:
+    """Both are computed once and kept as literal tables of one row a column and one row."""
+    return Measures(_kept(column_stats(df)), _kept(quality(df)))
+
+
+def _kept(small: DataFrame) -> DataFrame:
+    kinds = {f.name: {"bigint": "long"}.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in small.schema}
+    return literal_table(small.sparkSession, kinds, [tuple(r) for r in small.collect()])
+
+
 def quality_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     """Two ``quality`` rows as one before/after record."""
     both = (before.withColumn("_when", F.lit("before"))

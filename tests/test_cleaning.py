@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrubwell import clean, fit, report
-from scrubwell.operators import missing, profile
+from scrubwell.operators import findings, missing, profile
 
 
 def table(spark, rows, schema):
@@ -69,6 +69,26 @@ def test_report_of_a_sound_table(spark):
     assert found.findings.count() == 0 and len(found.recommendations) == 1
 
 
+def test_report_measures_once_and_equals_its_parts(spark, monkeypatch):
+    rows = [(i % 50, float(i % 7) if i % 9 else None, f"user{i % 40}@example.com" if i % 5 else "bad") for i in range(120)]
+    for given in (rows, [], [(None, float("nan"), None)] * 3):
+        df = table(spark, given, "id long, price double, email string")
+        calls = Counter()
+        for name in ("column_stats", "_row_groups"):
+            counted = getattr(profile, name)
+            monkeypatch.setattr(profile, name, lambda *a, name=name, counted=counted, **k: calls.update([name]) or counted(*a, **k))
+        monkeypatch.setattr(findings, "column_stats", profile.column_stats)
+        found = report(df)
+        monkeypatch.undo()
+        assert calls == {"column_stats": 1, "_row_groups": 1}
+        plain = lambda some: sorted(map(str, some.collect()))
+        assert plain(found.snapshot) == plain(profile.profile_snapshot(df))
+        assert plain(found.summary.select("rows", "columns", "missing_cells", "duplicate_rows")) == plain(
+            profile.quality(df).select("rows", "columns", "missing_cells", "duplicate_rows"))
+        alone = Counter((r["column"], r["n"], r["finding"]) for r in findings.findings(df).collect())
+        assert Counter((r["column"], r["n"], r["finding"]) for r in found.findings.collect()) == alone
+
+
 def test_summary_is_before_after(spark):
     before = profile.quality(table(spark, [(1.0,), (None,), (1.0,)], "a double"))
     after = profile.quality(table(spark, [(1.0,), (1.0,)], "a double"))
