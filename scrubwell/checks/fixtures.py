@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import read_table
+from ..sources.tables import balanced, read_table
 
 MC = """
 SELECT
@@ -119,7 +119,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet")
+    return balanced(read_table(spark, f"{folder}/{name}.parquet"))
 
 
 def from_sql(spark: SparkSession, folder: str, sql: str) -> DataFrame:

@@ -97,3 +97,19 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet", **option
     if format == "csv":
         return read_csv(spark, path, **options)
     return spark.table(path) if format == "table" else spark.read.format(format).options(**options).load(path)
+
+
+#: rows in one task from which dealing them out is worth a shuffle
+FULL_TASK = 20_000
+
+
+def balanced(df: DataFrame, full_task: int = FULL_TASK) -> DataFrame:
+    """A source whose rows keep every core busy. A task reads whole row groups (or whole files), so a
+    compact table of millions of rows may lie in one task. The rows of each task are counted, without
+    reading a column; where one has over twice its share, all rows are dealt out over the cores, copies
+    of a row as well. The operators' rules cost far more a row than this shuffle of source columns."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    if not tasks or max(tasks) < full_task or max(tasks) * cores <= 2 * sum(tasks):
+        return df
+    return df.repartition(2 * cores)

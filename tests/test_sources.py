@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrubwell import clean
+from scrubwell.checks import fixtures
 from scrubwell.sources import history, sinks, tables
 
 
@@ -96,3 +97,23 @@ def test_a_failed_run_is_found_and_a_staged_copy_released(spark, tmp_path):
     assert result.data.count() == 2
     result.release()
     assert spark.read.parquet(result.staged).isEmpty()
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr("id % 1000 AS l_orderkey", "1 AS l_linenumber")
+    rows.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    wide = fixtures.table(spark, str(tmp_path), "lineitem")
+    tasks = [r["count"] for r in wide.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 60_000 and max(tasks) <= 2 * 60_000 / spark.sparkContext.defaultParallelism
+    assert {(r["l_orderkey"], r["count"]) for r in wide.groupBy("l_orderkey").count().collect()} == {(k, 60) for k in range(1000)}
+    narrow = fixtures.table(spark, str(tmp_path), "orders")
+    assert narrow.groupBy(F.spark_partition_id()).count().count() == 1
+
+
+def test_balanced_tables_are_not_shuffled(spark, tmp_path):
+    spark.range(60_000).repartition(spark.sparkContext.defaultParallelism).write.parquet(str(tmp_path / "even"))
+    even = spark.read.parquet(str(tmp_path / "even"))
+    assert tables.balanced(even, full_task=1) is even
+    none = spark.range(0)
+    assert tables.balanced(none) is none
