@@ -139,8 +139,9 @@ def scale_percentages(df: DataFrame, columns: list[str]) -> DataFrame:
 
 # --- acceptance rules of the explicit-column converters -------------------------------------
 def generic_number(c: Column) -> Column:
-    """Number text with ``, ₹ $ €`` removed (no ``£``, no ``%``, no number words)."""
-    return parse.plain_number(text.trim(F.regexp_replace(c, "[,₹$€]", "")))
+    """Number text with ``, ₹ $ €`` removed (no ``£``, no ``%``, no number words). Every number has a
+    digit or the f of ``inf``, so most other cells cost one pattern."""
+    return F.when(c.rlike("[0-9fF]"), parse.plain_number(text.trim(F.regexp_replace(c, "[,₹$€]", ""))))
 
 
 def numeric_acceptance(df: DataFrame) -> DataFrame:
@@ -187,9 +188,8 @@ def _acceptance(df, columns, reader, label, share) -> DataFrame:
     schema = {"column": "string", "filled": "long", label: "long", "share": "double"}
     if not columns:
         return (literal_table(df.sparkSession, schema, []).withColumn("accepted", F.lit(False)).drop("share"))
-    read = df.select(*[x for i, c in enumerate(columns) for x in (
-        col(c).isNotNull().alias(f"f{i}"), reader(c).isNotNull().alias(f"r{i}"))])
-    row = read.agg(*[F.count_if(c).alias(c) for c in read.columns])
+    row = df.agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(col(c)).alias(f"f{i}"), F.count(reader(c)).alias(f"r{i}"))])
     rows = row_to_rows(row, schema, [
         (F.lit(c), F.col(f"f{i}"), F.col(f"r{i}"), F.lit(share(c))) for i, c in enumerate(columns)])
     return rows.select("column", "filled", label, (

@@ -43,17 +43,22 @@ def standardize_contacts(df: DataFrame) -> DataFrame:
     return df.select(*[_CONTACTS[c](col(c)).alias(c) if c in _CONTACTS else col(c) for c in df.columns])
 
 
+_DECIMAL = r"-?[0-9]+(?:\.[0-9]+)?"
+
+
 def number_anywhere(c: Column) -> Column:
-    """First number found in a cell after number words, signs and commas are resolved."""
+    """First number found in a cell after number words, signs and commas are resolved. A cell that is
+    nothing but a number costs one pattern."""
     t = F.lower(text.trim(c))
     bare = F.regexp_replace(t, f"[{vocab.CURRENCY_SIGNS},]", "")
-    found = F.regexp_extract(bare, r"-?[0-9]+(?:\.[0-9]+)?", 0)
-    return F.coalesce(number_word(t), F.nullif(found, F.lit("")).try_cast("double"))
+    found = F.regexp_extract(bare, _DECIMAL, 0)
+    return F.when(c.rlike(rf"\A{_DECIMAL}\z"), c.try_cast("double")).otherwise(
+        F.coalesce(number_word(t), F.nullif(found, F.lit("")).try_cast("double")))
 
 
 def discount(c: Column) -> Column:
     """Discount as a fraction: ``%`` or a bare number above 1 is divided by 100."""
-    n = number_anywhere(F.regexp_replace(c, "[ %]", ""))
+    n = number_anywhere(F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit("%"), F.lit("")))
     return F.when(c.contains("%") | (n > 1), n / 100.0).otherwise(n)
 
 

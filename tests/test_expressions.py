@@ -2,6 +2,7 @@
 import datetime as dt
 import hashlib
 import random
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scrubwell.functions import names, parse, text
 from scrubwell.operators import labels, quantiles, retail
-from scrubwell.operators.infer import Evidence, decide_kind, infer_kinds
+from scrubwell.operators.infer import Evidence, decide_kind, generic_number, infer_kinds, numeric_acceptance
 from pyspark.sql import types as T
 
 
@@ -203,3 +204,24 @@ def test_quantiles_of_many_columns(spark):
         values = sorted((k * (7 + i)) % 101 + i for k in range(200))
         at = lambda p: values[int(p * 199)] + (p * 199 - int(p * 199)) * (values[int(p * 199) + 1] - values[int(p * 199)])
         assert got[f"c{i}"] == {"count": 200, "values": [at(0.25), at(0.5)]}
+
+
+def test_number_readers_on_odd_cells(spark):
+    cells = ["5", "-5", "+5", "5.", ".5", "007", "1e3", "12.50", " 12 ", "1,200", "₹ 9", "ten", " TEN ", "x7y8", "-", "", "٣", "inf", "i,nf",
+             "-Infinity", "€f", "5%", "5 %", "0.5", "200", "5\n", "1.2.3", "nan", "1d", None]
+    anywhere = [5.0, -5.0, 5.0, 5.0, 5.0, 7.0, 1.0, 12.5, 12.0, 1200.0, 9.0, 10.0, 10.0, 7.0, None, None, None, None, None,
+                None, None, 5.0, 5.0, 0.5, 200.0, 5.0, 1.2, None, 1.0, None]
+    generic = [5.0, -5.0, 5.0, 5.0, 0.5, 7.0, 1000.0, 12.5, 12.0, 1200.0, 9.0, None, None, None, None, None, None, float("inf"), float("inf"),
+               float("-inf"), None, None, None, 0.5, 200.0, 5.0, None, None, None, None]
+    assert apply(spark, retail.number_anywhere, cells) == anywhere
+    assert apply(spark, generic_number, cells) == generic
+    assert apply(spark, retail.discount, ["5 %", "% 5", "0.5", "5", " 1 ", "1", "-3%", "ten", "te n", "", None]) == [
+        0.05, 0.05, 0.5, 0.05, 1.0, 1.0, -0.03, 0.1, 0.1, None, None]
+
+
+def test_one_pattern_on_the_raw_cell_settles_most_numbers(spark):
+    cells = spark.createDataFrame([("0", "x0"), ("1.5", "x1"), ("2", "x2")], "Quantity string, City string")
+    found = numeric_acceptance(cells)
+    assert {tuple(r) for r in found.collect()} == {("Quantity", 3, 3, True), ("City", 3, 0, False)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all(re.search(rf"CASE WHEN RLIKE\({c}#[0-9]+, ", plan) for c in ("Quantity", "City")), plan
