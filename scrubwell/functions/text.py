@@ -17,7 +17,7 @@ WHITESPACE = (
 )
 _SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # the same as a class
 _SPACE_RUN = f"[{_SPACE}]+"
-_ODD_SPACE = f" {{2}}|[{_SPACE}&&[^ ]]"
+_TIDY = r"\A[!-~]++(?: [!-~]++)*+\z"  # ASCII words, one space between them: settles most cells quickly
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 _WORD_START = rf"(?<=[^{_CASED}])(?=[{_CASED}])"
 _MARK = "\ue000 "
@@ -48,13 +48,13 @@ def basic_missing_tokens(c: Column, tokens=vocab.BASIC_MISSING_TOKENS) -> Column
 
 
 def collapse_inner(t: Column) -> Column:
-    """``collapse`` for a cell that is already trimmed; cells without a run stay untouched."""
-    return F.when(t.rlike(_ODD_SPACE), F.regexp_replace(t, _SPACE_RUN, " ")).otherwise(t)
+    """``collapse`` for a cell that is already trimmed; tidy cells stay untouched."""
+    return F.when(~t.rlike(_TIDY), F.regexp_replace(t, _SPACE_RUN, " ")).otherwise(t)
 
 
 def collapse(c: Column) -> Column:
     """One space for every whitespace run, none at the ends."""
-    return collapse_inner(trim(c))
+    return F.when(~c.rlike(_TIDY), F.regexp_replace(trim(c), _SPACE_RUN, " ")).otherwise(c)
 
 
 def title_case(c: Column) -> Column:

@@ -78,7 +78,8 @@ def value_counts(df: DataFrame, columns=None, clean=text.collapse) -> DataFrame:
     if not columns:
         return literal_table(df.sparkSession, {"column": "string", "value": "string", "cnt": "long"}, [])
     cells = long_form(df.select(*[col(c) for c in columns])).where(F.col("value").isNotNull())
-    return (histogram(cells).select("column", clean(F.col("value")).alias("value"), "n")
+    # bound to the count, else the filter on cleaned values would be pushed below it and clean every cell
+    return (histogram(cells).select("column", F.when(F.col("n") > 0, clean(F.col("value"))).alias("value"), "n")
             .where(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.sum("n").alias("cnt")))
 

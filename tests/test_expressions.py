@@ -225,3 +225,24 @@ def test_one_pattern_on_the_raw_cell_settles_most_numbers(spark):
     assert {tuple(r) for r in found.collect()} == {("Quantity", 3, 3, True), ("City", 3, 0, False)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert all(re.search(rf"CASE WHEN RLIKE\({c}#[0-9]+, ", plan) for c in ("Quantity", "City")), plan
+
+
+def test_cells_are_cleaned_once_a_value(spark):
+    cells = spark.createDataFrame([(" a  b",), ("a b",), ("a b",), (None,), ("n/a",)], "label string")
+    counts = labels.value_counts(cells)
+    assert {tuple(r) for r in counts.collect()} == {("label", "a b", 3), ("label", "n/a", 1)}
+    free = labels.value_counts(cells, ["label"], lambda c: text.collapse_inner(text.missing_tokens(c)))
+    assert {tuple(r) for r in free.collect()} == {("label", "a b", 3)}
+    for table in (counts, free):
+        plan = table._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        first = max(i for i, line in enumerate(plan) if "Aggregate [" in line)
+        assert "RLIKE" in "".join(plan[:first]) and "RLIKE" not in "".join(plan[first:])
+
+
+def test_collapse_equals_plain_python(spark):
+    rng = random.Random(5)
+    cells = ["".join(rng.choice(["a", "B9", " ", " ", "\t", "\u3000", "é", "~", "!", "\x1c", "\x7f", "\n"]) for _ in range(rng.randrange(9))) for _ in range(800)]
+    cells += ["ab " * 400_000, "ab " * 400_000 + "é", "x"]
+    plain = [" ".join(c.split()) for c in cells]
+    assert apply(spark, text.collapse, cells) == plain
+    assert apply(spark, lambda c: text.collapse_inner(text.trim(c)), cells) == plain
